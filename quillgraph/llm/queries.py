@@ -4,18 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, urls
+from . import fingerprints, hmm, mixing, tokens, toxicity, urls
+from .storage import Scratch
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
+TOXIC_FROM = 0.3
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(mod: int) -> Column:
+    """Whether crc32 of doc_id as text leaves 2; a null doc_id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(mod)) == 2
+
+
+def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scratch = Scratch(spark, "op1")
+    machine = toxicity.fit(docs, _table(spark, sf_dir, "labels").filter(~held_out(4)), scratch)
+    scratch.drop()
+    out = toxicity.score(docs, machine)
+    return out.select("doc_id", held_out(4).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return tokens.count_by_line(_table(spark, sf_dir, "documents"), tokens.read_ranks(vocabulary))
+
+
+def op5_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored, vocab, _ = hmm.language_model(docs, ~held_out(7), Scratch(spark, "op5"))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(vocab.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_oph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +79,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_oph_fingerprints": op7_oph_fingerprints, "op8_mix_sources": op8_mix_sources, "op9_url_filter": op9_url_filter}
+    return {
+        "op1_toxicity_fm": op1_toxicity_fm,
+        "op3_token_counts": op3_token_counts,
+        "op5_hmm_lm": op5_hmm_lm,
+        "op7_oph_fingerprints": op7_oph_fingerprints,
+        "op8_mix_sources": op8_mix_sources,
+        "op9_url_filter": op9_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
