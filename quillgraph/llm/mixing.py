@@ -14,6 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import Scratch
+
+#: The source table is broadcast up to this many sources, and joined by a shuffle beyond.
+MANY_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -74,20 +78,24 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     """
     added = ("size", "source_size", "target", "rate", "copies", "weight")
     docs = docs.drop(*[c for c in docs.columns if c in added]).withColumn("size", word_count(F.col("text")))
-    sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = weighted_sources(sources, weights)
+    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # one row a source: written once, so that the rounds below don't read the documents again
+    sources = Scratch(docs.sparkSession, "mix").keep(weighted_sources(sizes, weights), "sources")
+    few = sources.count() <= MANY_SOURCES
     level = water_level(sources, share, cap)
     sources = sources.withColumn("target", F.least((F.col("source_size") * cap).cast("double"), F.col("weight") * F.lit(level))).withColumn(
         "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     )
     key = F.coalesce(F.col("doc_id").cast("string"), F.sha2(F.col("text"), 256), F.lit(""))
-    draw = F.conv(F.substring(F.sha2(F.concat(F.lit(seed + ":"), key), 256), 1, 8), 16, 10).cast("double") / 4294967296.0
+    # before the join, so that the text needn't go through its shuffle
+    docs = docs.withColumn("__draw", F.conv(F.substring(F.sha2(F.concat(F.lit(seed + ":"), key), 256), 1, 8), 16, 10).cast("double") / 4294967296.0)
     right = sources.select(F.col("source").alias("__s"), "source_size", "target", "rate")
     whole = F.floor("rate")
     return (
-        docs.join(right, F.col("source").eqNullSafe(F.col("__s")), "left")
+        docs.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("__s")), "left")
         .drop("__s")
-        .withColumn("copies", (whole + (draw < F.col("rate") - whole).cast("int")).cast("long"))
+        .withColumn("copies", (whole + (F.col("__draw") < F.col("rate") - whole).cast("int")).cast("long"))
+        .drop("__draw")
     )
 
 
