@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, hmm, mixing, tokens, toxicity, urls
-from .storage import Scratch
+from . import fingerprints, hmm, mixing, suffixes, tokens, toxicity, urls
+from .storage import Scratch, ensure_importable
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -18,6 +18,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +36,10 @@ def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(4).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op2"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     return tokens.count_by_line(_table(spark, sf_dir, "documents"), tokens.read_ranks(vocabulary))
 
@@ -81,6 +86,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_fm": op1_toxicity_fm,
+        "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_token_counts": op3_token_counts,
         "op5_hmm_lm": op5_hmm_lm,
         "op7_oph_fingerprints": op7_oph_fingerprints,
