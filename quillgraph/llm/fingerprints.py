@@ -25,7 +25,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def shingle_hashes(text: Column, n: int) -> Column:
     """Hashes of the n-word shingles (repeats included); fewer words make one shingle, none an empty array."""
-    parts = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+    spaced = F.lower(F.coalesce(text, F.lit("")))
+    for space in "\t\n\x0b\f\r":
+        spaced = F.replace(spaced, F.lit(space), F.lit(" "))
+    parts = F.array_remove(F.split(spaced, " "), "")
 
     def rolled(h: Column) -> Column:
         one = lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)])
@@ -39,27 +42,28 @@ def shingle_hashes(text: Column, n: int) -> Column:
 def fingerprint(text: Column, n: int = 5, bin_bits: int = BIN_BITS, low_bits: int = LOW_BITS, probes: int = PROBES) -> Column:
     """Hex of the packed low bits of each bin; empty for a text without words (or null)."""
     k, digits = 1 << bin_bits, low_bits // 4
-    head = lambda x: F.shiftrightunsigned(x, 64 - bin_bits).cast("int")
-    code = lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit((1 << low_bits) - 1)))), digits, "0")
-
-    def packed(mins: Column) -> Column:
-        """mins: the smallest hash of every filled bin, in the order of bins as unsigned numbers."""
-        slots = F.map_from_arrays(F.transform(mins, head), F.transform(mins, code))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda b: F.element_at(slots, b))
-
-        def filled(d: Column) -> Column:
-            probe = lambda b, a: F.get(d, F.pmod(F.xxhash64(b, a), F.lit(k)).cast("int"))
-            lend = lambda b: F.aggregate(F.sequence(F.lit(1), F.lit(probes)), F.lit(None).cast("string"), lambda got, a: F.coalesce(got, probe(b, a)))
-            ahead = lambda b: F.filter(F.concat(F.slice(d, b + 1, k), d), lambda x: x.isNotNull())[0]
-            return F.transform(d, lambda x, b: F.coalesce(x, lend(b), ahead(b)))
-
-        return F.array_join(let(dense, filled), "")
+    codes = F.array(*[F.lit(f"{v:0{digits}x}") for v in range(1 << low_bits)])
+    # every bin has the largest value it can hold, so that each one is met after sorting; a bin left with it is empty
+    empty = (1 << (64 - bin_bits)) - 1
+    marks = F.array(*[F.lit(((b << (64 - bin_bits)) | empty) - (1 << 64 if b >> (bin_bits - 1) else 0)) for b in range(k)]).cast("array<bigint>")
 
     def smallest(ordered: Column) -> Column:
-        return F.filter(ordered, lambda x, i: (i == 0) | (head(x) != head(F.get(ordered, F.greatest(i - 1, F.lit(0))))))
+        """The smallest hash of each bin."""
+        return F.filter(ordered, lambda x, i: (i == 0) | (F.shiftrightunsigned(x.bitwiseXOR(F.get(ordered, i - 1)), 64 - bin_bits) != 0))
+
+    def filled(d: Column) -> Column:
+        """Codes of the bins, empty ones from others."""
+        probe = lambda b, a: F.get(d, F.pmod(F.xxhash64(b, a), F.lit(k)).cast("int"))
+        # the first probes, nearly always enough, are tried one by one
+        some = lambda b: [probe(b, F.lit(a)) for a in range(1, 7)]
+        more = lambda b: F.aggregate(F.sequence(F.lit(7), F.lit(probes)), F.lit(None).cast("string"), lambda got, a: F.coalesce(got, probe(b, a)))
+        ahead = lambda b: F.filter(F.concat(F.slice(d, b + 1, k), d), lambda x: x.isNotNull())[0]
+        return F.transform(d, lambda x, b: F.coalesce(x, *some(b), more(b), ahead(b)))
 
-    mins = let(F.sort_array(shingle_hashes(text, n)), smallest)
-    return let(mins, lambda m: F.when(F.size(m) == 0, "").otherwise(packed(m)))
+    code = lambda x: F.when(x.bitwiseAND(F.lit(empty)) != empty, F.get(codes, x.bitwiseAND(F.lit((1 << low_bits) - 1)).cast("int")))
+    bins = lambda h: let(F.sort_array(F.concat(h, marks)), smallest)
+    packed = lambda h: F.array_join(let(F.transform(bins(h), code), filled), "")
+    return let(shingle_hashes(text, n), lambda h: F.when(F.size(h) == 0, "").otherwise(packed(h)))
 
 
 def likeness(a: Column, b: Column, low_bits: int = LOW_BITS) -> Column:
@@ -70,10 +74,11 @@ def likeness(a: Column, b: Column, low_bits: int = LOW_BITS) -> Column:
     digits, chance = low_bits // 4, 1.0 / (1 << low_bits)
 
     def share(ab: Column) -> Column:
-        same = F.aggregate(F.sequence(F.lit(0), (F.length(ab["a"]) / digits).cast("int") - 1), F.lit(0), lambda s, i: s + (F.substring(ab["a"], i * digits + 1, digits) == F.substring(ab["b"], i * digits + 1, digits)).cast("int"))
-        return F.greatest(F.lit(0.0), (same / (F.length(ab["a"]) / digits) - chance) / (1.0 - chance))
+        same = F.size(F.filter(F.zip_with(ab["a"], ab["b"], lambda x, y: x == y), lambda x: x))
+        return F.greatest(F.lit(0.0), (same / F.size(ab["a"]) - chance) / (1.0 - chance))
 
-    both = let(F.struct(a.alias("a"), b.alias("b")), share)
+    cut = lambda x: F.regexp_extract_all(x, F.lit("." * digits), F.lit(0))
+    both = let(F.struct(cut(a).alias("a"), cut(b).alias("b")), share)
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(both)
 
 
