@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, hmm, mixing, suffixes, tokens, toxicity, urls
+from . import fingerprints, hmm, mixing, nearness, suffixes, tokens, toxicity, urls
 from .storage import Scratch, ensure_importable
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -44,6 +44,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABUL
     return tokens.count_by_line(_table(spark, sf_dir, "documents"), tokens.read_ranks(vocabulary))
 
 
+def op4_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearness.near_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op4"))
+
+
 def op5_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored, vocab, _ = hmm.language_model(docs, ~held_out(7), Scratch(spark, "op5"))
@@ -88,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity_fm": op1_toxicity_fm,
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_token_counts": op3_token_counts,
+        "op4_minhash_tensored": op4_minhash_tensored,
         "op5_hmm_lm": op5_hmm_lm,
         "op7_oph_fingerprints": op7_oph_fingerprints,
         "op8_mix_sources": op8_mix_sources,
