@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, hmm, mixing, nearness, suffixes, tokens, toxicity, urls
+from . import decontamination, fingerprints, hmm, mixing, nearness, suffixes, tokens, toxicity, urls
 from .storage import Scratch, ensure_importable
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -54,6 +54,10 @@ def op5_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(vocab.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), Scratch(spark, "op6"))
+
+
 def op7_oph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(_table(spark, sf_dir, "documents"))
 
@@ -94,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_minhash_tensored": op4_minhash_tensored,
         "op5_hmm_lm": op5_hmm_lm,
+        "op6_decontamination": op6_decontamination,
         "op7_oph_fingerprints": op7_oph_fingerprints,
         "op8_mix_sources": op8_mix_sources,
         "op9_url_filter": op9_url_filter,
