@@ -87,28 +87,30 @@ _NULLS = -(1 << 63)
 
 
 def with_next(docs: DataFrame, carry: list[str], width: int = 256) -> DataFrame:
-    """Rows with ``__next``, the carried columns of the next one by descending doc_id (after the last: the first).
+    """Rows with ``next_<column>`` of the next one by descending doc_id (after the last: the first) for each carried column.
 
-    Null ids come last, ties go by the carried columns.  Ids are dealt to
+    The carried columns hold no nulls.  Null ids come last, ties go by the carried columns.  Ids are dealt to
     buckets of ``width`` values, so no task sees more; only the first row of
     each bucket goes to its neighbour, over the same shuffle.  The order of
     buckets is found likewise, level by level, until one bucket is left.
     """
     bucket = F.coalesce(F.floor(F.col("doc_id") / width).cast("long"), F.lit(_NULLS))
-    own = F.struct(*carry)
     within = Window.partitionBy("__b").orderBy(F.col("doc_id").desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in carry])
     rows = docs.withColumn("__b", bucket)
-    dealt = rows.withColumn("__lead", F.lead(own).over(within)).withColumn("__later", F.lag(F.lit(True)).over(within))
-    first = dealt.filter("__later is null").select(F.col("__b").alias("__fb"), own.alias("__first"))
+    # plain columns in both windows, so that the two can share one shuffle
+    dealt = rows.withColumns({f"__lead_{c}": F.lead(c).over(within) for c in carry})
+    first = rows.withColumn("__later", F.lag(F.lit(True)).over(within)).filter("__later is null")
+    first = first.select(F.col("__b").alias("__fb"), *[F.col(c).alias(f"__first_{c}") for c in carry])
     ends = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     span = 1 if ends["lo"] is None else ends["hi"] // width - ends["lo"] // width + 2
     levels = 1
     while span > width:
         span, levels = span // width + 2, levels + 1
     follows = _link(docs.select(bucket.alias("__own")).distinct(), levels, width)
-    bridge = follows.join(first, F.col("__succ") == F.col("__fb")).select(F.col("__own").alias("__k"), "__first")
+    bridge = follows.join(first, F.col("__succ") == F.col("__fb")).select(F.col("__own").alias("__k"), *[f"__first_{c}" for c in carry])
     out = dealt.join(bridge, F.col("__b") == F.col("__k"), "left")
-    return out.withColumn("__next", F.coalesce("__lead", "__first")).drop("__b", "__k", "__later", "__lead", "__first")
+    out = out.withColumns({f"next_{c}": F.coalesce(f"__lead_{c}", f"__first_{c}") for c in carry})
+    return out.drop("__b", "__k", *[f"__lead_{c}" for c in carry], *[f"__first_{c}" for c in carry])
 
 
 def _link(keys: DataFrame, levels: int, width: int) -> DataFrame:
@@ -143,10 +145,10 @@ def compare_with_edits(docs: DataFrame, width: int = 256) -> DataFrame:
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("fingerprint", fingerprint(F.col("text")))
     paired = with_next(base, ["text", "fingerprint"], width)
-    paired = paired.withColumn("__edited", edit(F.col("text"), F.col("__next.text")))
+    paired = paired.withColumn("__edited", edit(F.col("text"), F.col("next_text")))
     paired = paired.withColumn("edited_fingerprint", fingerprint(F.col("__edited")))
     return paired.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("__edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("__next.fingerprint")).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
