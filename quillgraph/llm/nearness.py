@@ -102,32 +102,36 @@ def dealt(rows: DataFrame, group: str, member: str, block: int = BLOCK) -> DataF
     return joined.select("*", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj")).drop("other", "__n")
 
 
-def _sketch_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch_edges(agree: int, percent: int):
     """Spanning forests of those pairs of a bucket's block pair whose bytes and sizes allow the similarity."""
-    out_a: list[int] = []
-    out_b: list[int] = []
-    for rows in _by_group(batches, lambda r: (r["key"], r["bi"], r["bj"])):
-        ids = np.array([r["cls"] for r in rows], np.int64)
-        sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), -1)
-        n = np.array([r["n"] for r in rows])
-        mine = np.array([r["mine"] for r in rows])
-        xs, ys = [], []
-        for x in range(len(rows) - 1):
-            ok = 100 * np.minimum(n[x + 1 :], n[x]) >= 85 * np.maximum(n[x + 1 :], n[x])
-            if rows[0]["bi"] != rows[0]["bj"]:
-                ok &= mine[x + 1 :] != mine[x]
-            y = np.flatnonzero(ok) + x + 1
-            y = y[(sig[y] == sig[x]).sum(1) >= AGREE]
-            xs.append(np.full(len(y), x))
-            ys.append(y)
-        if xs:
-            a, b = _tree(ids, np.concatenate(xs), np.concatenate(ys))
-            out_a, out_b = out_a + a, out_b + b
-        if len(out_a) > 50_000:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out_a: list[int] = []
+        out_b: list[int] = []
+        for rows in _by_group(batches, lambda r: (r["key"], r["bi"], r["bj"])):
+            ids = np.array([r["cls"] for r in rows], np.int64)
+            sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), -1)
+            n = np.array([r["n"] for r in rows])
+            mine = np.array([r["mine"] for r in rows])
+            xs, ys = [], []
+            for x in range(len(rows) - 1):
+                ok = 100 * np.minimum(n[x + 1 :], n[x]) >= percent * np.maximum(n[x + 1 :], n[x])
+                if rows[0]["bi"] != rows[0]["bj"]:
+                    ok &= mine[x + 1 :] != mine[x]
+                y = np.flatnonzero(ok) + x + 1
+                y = y[(sig[y] == sig[x]).sum(1) >= agree]
+                xs.append(np.full(len(y), x))
+                ys.append(y)
+            if xs:
+                a, b = _tree(ids, np.concatenate(xs), np.concatenate(ys))
+                out_a, out_b = out_a + a, out_b + b
+            if len(out_a) > 50_000:
+                yield _edges(out_a, out_b)
+                out_a, out_b = [], []
+        if out_a:
             yield _edges(out_a, out_b)
-            out_a, out_b = [], []
-    if out_a:
-        yield _edges(out_a, out_b)
+
+    return run
 
 
 def link_sets(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +175,26 @@ def _exact_edges(percent: int):
     return run
 
 
+def candidate_groups(classes: DataFrame, scratch: Scratch, agree: int, percent: int, name: str) -> DataFrame:
+    """(node, root): groups of classes (cls, n, sig, keys) that chains of candidate pairs join."""
+    each = classes.select("cls", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    rows = scratch.keep(each.join(shared, "key"), f"{name}-buckets")
+    rows = rows.join(classes.select("cls", "n", "sig"), "cls")
+    parts = dealt(rows, "key", "cls").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    edges = parts.select("key", "bi", "bj", "mine", "cls", "n", "sig").mapInArrow(_sketch_edges(agree, percent), "a long, b long")
+    out = components(edges, scratch, f"{name}-groups")
+    scratch.drop(f"{name}-buckets")
+    return out
+
+
+def linked(texts: DataFrame, scratch: Scratch, percent: int, name: str) -> DataFrame:
+    """(node, root): components of the exact links among the packed texts (cls, root, z, n_bytes) of each group."""
+    parts = dealt(texts, "root", "cls").repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
+    edges = parts.select("root", "bi", "bj", "mine", "cls", "z", "n_bytes").mapInArrow(_exact_edges(percent), "a long, b long")
+    return components(edges, scratch, f"{name}-links")
+
+
 def near_components(docs: DataFrame, scratch: Scratch, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
 
@@ -186,23 +210,15 @@ def near_components(docs: DataFrame, scratch: Scratch, percent: int = 85) -> Dat
     told = scratch.keep(named.mapInArrow(_describe, "did long, th long, n long, cls long, keys array<long>, sig binary"), "described")
     classes = told.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("did", "th", "n", "sig", "keys")).alias("r"))
     classes = scratch.keep(classes.select("cls", "r.*"), "classes")
-    each = classes.select("cls", F.explode("keys").alias("key"))
-    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    rows = scratch.keep(each.join(shared, "key"), "buckets")
-    rows = rows.join(classes.select("cls", "n", "sig"), "cls")
-    parts = dealt(rows, "key", "cls").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    sketched = parts.select("key", "bi", "bj", "mine", "cls", "n", "sig").mapInArrow(_sketch_edges, "a long, b long")
-    groups = components(sketched, scratch, "groups")
+    groups = candidate_groups(classes, scratch, AGREE, percent, "near")
     wanted = groups.join(classes.select("cls", "did", "th"), groups["node"] == classes["cls"]).select("cls", "root", "did", "th")
     packed = named.mapInArrow(_pack, "did long, th long, z binary, n_bytes long").join(wanted, ["did", "th"]).drop("did", "th")
     packed = scratch.keep(packed, "texts").dropDuplicates(["cls"])  # repeated rows have one text
-    parts = dealt(packed, "root", "cls").repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
-    linked = parts.select("root", "bi", "bj", "mine", "cls", "z", "n_bytes").mapInArrow(_exact_edges(percent), "a long, b long")
-    found = components(linked, scratch, "links")
+    found = linked(packed, scratch, percent, "near")
     ids = classes.select("cls", "did").join(found, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), F.nullif("did", F.lit(_NULL_ID)).alias("id"))
     named_root = ids.groupBy("root").agg(F.min("id").alias("component_id"))
     of = scratch.keep(ids.join(named_root, "root").select("cls", "component_id"), "of")
-    scratch.drop("texts", "buckets", "classes")
+    scratch.drop("texts", "classes")
     out = told.select("did", "n", "cls").join(of, "cls", "left")
     own = F.nullif("did", F.lit(_NULL_ID))
     return out.select(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, hmm, mixing, nearness, suffixes, tokens, toxicity, urls
+from . import decontamination, fingerprints, hmm, mixing, nearness, paragraphs, suffixes, tokens, toxicity, urls
 from .storage import Scratch, ensure_importable
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -91,6 +91,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.find_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op10"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_fm": op1_toxicity_fm,
@@ -102,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_oph_fingerprints": op7_oph_fingerprints,
         "op8_mix_sources": op8_mix_sources,
         "op9_url_filter": op9_url_filter,
+        "op10_paragraph_dedup": op10_paragraph_dedup,
     }
 
 
