@@ -122,7 +122,8 @@ def _windows(starts: np.ndarray, length: int, size: int) -> list[tuple[int, int]
     return [(max(0, int(g[0]) - slack), min(size, int(g[-1]) + length + slack)) for g in np.split(order, cuts)]
 
 
-def _scan(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
+def _scan(docs: DataFrame, items: Items, threshold: float, drop: bool = False) -> DataFrame:
+    """The leaks of a block of items, or with drop the rows of docs without any."""
     seen, total = _word_counts(docs, items.words)
     shipped = docs.sparkSession.sparkContext.broadcast((items, *items.seeds(seen, total)))  # one block
 
@@ -132,7 +133,7 @@ def _scan(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
         sieve = np.zeros(1 << 20, bool)
         sieve[seeds & np.uint64((1 << 20) - 1)] = True
         for batch in batches:
-            ids, found = batch.column("doc_id"), []
+            ids, found, clean = batch.column("doc_id"), [], np.ones(batch.num_rows, bool)
             for i, _, data, offsets in K.chunks(*K.buffers(batch.column("text"))):
                 h, s, e, per = word_hashes(data, offsets)
                 first = np.cumsum(per) - per
@@ -154,11 +155,27 @@ def _scan(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
                     if got[0] >= threshold:
                         a, b = first[r] + got[3] + got[1], first[r] + got[3] + got[2]
                         span = [int(((data[offsets[r] : p] & 0xC0) != 0x80).sum()) for p in (s[a], e[b - 1])]
+                        clean[i + r] = False
                         found.append((ids[i + r].as_py(), items.ids[t], got[0], *span))
-            if found:
+            if drop:
+                yield batch.filter(pa.array(clean))
+            elif found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "start", "end"])
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, score double, start long, end long")
+    return docs.mapInArrow(run, docs.schema if drop else "doc_id long, item_id long, score double, start long, end long")
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[Items]:
+    """Items with a text, in blocks of about BLOCK_BYTES."""
+    ids: list[int | None] = []
+    texts: list[str] = []
+    for row in benchmark.filter("text <> ''").select("item_id", "text").toLocalIterator():
+        ids.append(row["item_id"])
+        texts.append(row["text"])
+        if len(texts) % 256 == 0 and sum(map(len, texts)) > BLOCK_BYTES:
+            yield Items.of(ids, texts)
+            ids, texts = [], []
+    yield Items.of(ids, texts)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
@@ -170,28 +187,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, threshold: fl
     tables give none.  Other columns are not read.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts: list[DataFrame] = []
-    ids: list[int | None] = []
-    texts: list[str | None] = []
-    size = 0
-
-    def flush(last: bool) -> None:
-        if ids or not parts:
-            df = _scan(docs, Items.of(list(ids), list(texts)), threshold)
-            parts.append(df if last and not parts else scratch.keep(df, f"leaks-{len(parts)}"))
-            ids.clear()
-            texts.clear()
-
-    for row in benchmark.select("item_id", "text").toLocalIterator():  # one block at a time
-        if row["text"]:
-            ids.append(row["item_id"])
-            texts.append(row["text"])
-            size += len(row["text"])
-        if size > BLOCK_BYTES:
-            flush(False)
-            size = 0
-    flush(True)
-    out = parts[0]
-    for df in parts[1:]:
-        out = out.unionByName(df)
+    out = None
+    for k, items in enumerate(_blocks(benchmark)):
+        if out is not None and not items.ids:
+            break
+        part = _scan(docs, items, threshold)
+        out = part if out is None else scratch.keep(out, f"leaks-{k}").unionByName(part)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that hold no test item, all columns as they are."""
+    for items in _blocks(benchmark):
+        if items.ids:
+            docs = _scan(docs, items, threshold, drop=True)
+    return docs

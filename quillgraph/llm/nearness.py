@@ -195,16 +195,8 @@ def linked(texts: DataFrame, scratch: Scratch, percent: int, name: str) -> DataF
     return components(edges, scratch, f"{name}-links")
 
 
-def near_components(docs: DataFrame, scratch: Scratch, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document.
-
-    Texts are linked when 100 * intersection >= percent * union of their
-    five-word shingle sets (A-Z lower-cased; a shorter text is one shingle);
-    equal sets always are.  A null or blank text has an empty set and is
-    linked with nothing.  component_id is the smallest doc_id reachable; null
-    ids come first only where a component has no other, and are then kept.
-    Rows that share a doc_id are documents of their own with one id.
-    """
+def _classes(docs: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(did, th, n, cls) of every row; (cls, did, th) of every class's first row; (node, root) of linked classes."""
     text = F.coalesce("text", F.lit(""))
     named = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
     told = scratch.keep(named.mapInArrow(_describe, "did long, th long, n long, cls long, keys array<long>, sig binary"), "described")
@@ -215,12 +207,44 @@ def near_components(docs: DataFrame, scratch: Scratch, percent: int = 85) -> Dat
     packed = named.mapInArrow(_pack, "did long, th long, z binary, n_bytes long").join(wanted, ["did", "th"]).drop("did", "th")
     packed = scratch.keep(packed, "texts").dropDuplicates(["cls"])  # repeated rows have one text
     found = linked(packed, scratch, percent, "near")
+    scratch.drop("texts")
+    return told, classes, found
+
+
+def near_components(docs: DataFrame, scratch: Scratch, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document.
+
+    Texts are linked when 100 * intersection >= percent * union of their
+    five-word shingle sets (A-Z lower-cased; a shorter text is one shingle);
+    equal sets always are.  A null or blank text has an empty set and is
+    linked with nothing.  component_id is the smallest doc_id reachable; null
+    ids come first only where a component has no other, and are then kept.
+    Rows that share a doc_id are documents of their own with one id.
+    """
+    told, classes, found = _classes(docs, scratch, percent)
     ids = classes.select("cls", "did").join(found, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), F.nullif("did", F.lit(_NULL_ID)).alias("id"))
     named_root = ids.groupBy("root").agg(F.min("id").alias("component_id"))
     of = scratch.keep(ids.join(named_root, "root").select("cls", "component_id"), "of")
-    scratch.drop("texts", "classes")
+    scratch.drop("classes")
     out = told.select("did", "n", "cls").join(of, "cls", "left")
     own = F.nullif("did", F.lit(_NULL_ID))
     return out.select(
         own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), own).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, scratch: Scratch, percent: int = 85) -> DataFrame:
+    """The rows of docs that stay when each component keeps its first text, by doc_id (null first) and text hash.
+
+    Rows without words all stay; of repeated rows (equal doc_id and text) one
+    stays, whichever its other columns are.
+    """
+    told, classes, found = _classes(docs, scratch, percent)
+    ids = classes.select("cls", "did", "th").join(found, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
+    winners = ids.groupBy("root").agg(F.min(F.struct("did", "th")).alias("w")).select("w.did", "w.th")
+    blank = told.filter("cls is null").select("did", "th").distinct()
+    stay = scratch.keep(winners.unionByName(blank).withColumnsRenamed({"did": "__did", "th": "__th"}), "stay")
+    scratch.drop("classes", "described")
+    keyed = docs.withColumn("__did", F.coalesce("doc_id", F.lit(_NULL_ID))).withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = keyed.join(stay, ["__did", "__th"], "left_semi")
+    return kept.dropDuplicates(["__did", "__th"]).select(*docs.columns)

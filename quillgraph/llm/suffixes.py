@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .storage import Scratch
@@ -276,8 +277,9 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, keep_text: bool = False, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), and with keep_text the spans and the kept bytes.
+def remove_repeats(docs: DataFrame, scratch: Scratch, keep_text: bool = False, hot: int = HOT, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), and with keep_text the spans and the kept bytes; columns named in carry pass through;
+    with as_text the kept bytes are decoded, without characters cut in part.
 
     Texts are UTF-8 bytes, a null is empty; matches don't cross texts.  A
     repeated row is a text that starts elsewhere too, so both lose all
@@ -285,14 +287,21 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, keep_text: bool = False, h
     rows; other columns are not read.
     """
     spans = find_spans(docs, scratch, hot)
-    packed = _named(docs).mapInArrow(_pack, "did long, th long, z binary, n_bytes long").join(spans, ["did", "th"], "left")
-    schema = "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<array<long>>, kept binary" * keep_text
+    text, own = F.coalesce("text", F.lit("")), carry or []
+    rows = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("__did"), F.xxhash64(text).alias("__th"), *[F.col(c).alias(f"__own_{c}") for c in own], text.alias("text"))
+    fields = [rows.schema[f"__own_{c}"] for c in own]
+    packed = rows.mapInArrow(_pack, T.StructType([*rows.schema.fields[:-1], T.StructField("z", T.BinaryType()), T.StructField("n_bytes", T.LongType())]))
+    packed = packed.join(spans.withColumnsRenamed({"did": "__did", "th": "__th"}), ["__did", "__th"], "left")
+    made = T._parse_datatype_string("did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<array<long>>, kept binary" * keep_text)
+    if as_text:
+        made = T.StructType([*made.fields[:-1], T.StructField("kept", T.StringType())])
+    schema = T.StructType([*made.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 1)
         for batch in batches:
             rows: list[tuple] = []
-            for did, z, n, marks in zip(*(batch.column(c).to_pylist() for c in ("did", "z", "n_bytes", "marks")), strict=True):
+            for did, z, n, marks in zip(*(batch.column(c).to_pylist() for c in ("__did", "z", "n_bytes", "marks")), strict=True):
                 text, gone = _unpack(codec, z, n), []
                 for a, b in sorted(marks or ()):
                     if gone and a <= gone[-1][1]:
@@ -304,11 +313,14 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, keep_text: bool = False, h
                     kept.append(text[at:a])
                     at = b
                 left = b"".join([*kept, text[at:]]) if gone else text
-                rows.append((did, n, n - len(left), len(gone), hashlib.sha256(left).hexdigest(), *((gone, left) if keep_text else ())))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())), pa.binary()]
+                rows.append((did, n, n - len(left), len(gone), hashlib.sha256(left).hexdigest(), *((gone, left.decode(errors="ignore") if as_text else left) if keep_text else ())))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())), pa.string() if as_text else pa.binary()]
             names = ["did", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
             columns = list(zip(*rows, strict=True)) if rows else [()] * (5 + 2 * keep_text)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names[: len(columns)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names[: len(columns)]) if not own else pa.RecordBatch.from_arrays(
+                [*[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], *[batch.column(f.name) for f in fields]], [*names[: len(columns)], *[f.name for f in fields]]
+            )
 
     out = packed.mapInArrow(run, schema)
-    return out.withColumn("did", F.nullif(F.col("did"), F.lit(_NULL_ID))).withColumnRenamed("did", "doc_id")
+    out = out.withColumn("did", F.nullif(F.col("did"), F.lit(_NULL_ID)))
+    return out.withColumnsRenamed({"did": "doc_id"} | {f"__own_{c}": c for c in own})
