@@ -114,7 +114,7 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.overlapping(*_spans(spark, sf_dir)).select("article", F.col("i_id").alias("left_id"), F.col("o_id").alias("right_id"))
 
 
-@register("nearest_anchor", """WITH p AS (SELECT user_id AS article, event_id AS id, epoch(ts)::BIGINT AS at FROM events), a AS (SELECT user_id AS article, event_id AS anchor, epoch(ts)::BIGINT AS at FROM events WHERE event_type = 'purchase')
+@register("nearest_anchor", """WITH p AS (SELECT user_id AS article, event_id AS id, floor(epoch(ts))::BIGINT AS at FROM events), a AS (SELECT user_id AS article, event_id AS anchor, floor(epoch(ts))::BIGINT AS at FROM events WHERE event_type = 'purchase')
 SELECT p.article, p.id, p.at, arg_min(a.anchor, (abs(p.at - a.at)::BIGINT, a.anchor)) AS anchor FROM p LEFT JOIN a ON a.article = p.article GROUP BY 1, 2, 3""")
 def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = T.log(spark, sf_dir).select("user", "event_id", "kind", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01', at)").alias("at"))

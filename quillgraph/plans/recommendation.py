@@ -60,17 +60,17 @@ def cbf_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("user_profile_vector", """WITH w AS (SELECT user_id AS u, event_id % (SELECT count(*) FROM embeddings) AS vec_id, count(*) AS clicks, max(ts) AS last_at, max(value) >= 90 AS fav FROM events GROUP BY 1, 2),
 x AS (SELECT u, vec_id, ln(1 + clicks) * exp(-ln(2) * (epoch(TIMESTAMP '2024-02-01' - last_at) / 86400.0) / 14) * CASE WHEN fav THEN 2 ELSE 1 END AS w FROM w)
-SELECT u AS "user", i - 1 AS i, round(sum(w * CAST(embedding[i] AS DOUBLE)) / sum(w), 5) AS v FROM x JOIN embeddings USING (vec_id), generate_series(1, 64) g(i) GROUP BY 1, 2""")
+SELECT u AS "user", i - 1 AS i, round(sum(w * CAST(embedding[i] AS DOUBLE)) / sum(w), 5) + 0.0 AS v FROM x JOIN embeddings USING (vec_id), generate_series(1, 64) g(i) GROUP BY 1, 2""")
 def user_profile_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = T.table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("k"))
     w = T.log(spark, sf_dir).crossJoin(n).groupBy("user", (F.col("event_id") % F.col("k")).alias("event")).agg(F.count(F.lit(1)).alias("clicks"), F.max("at").alias("last_viewed_at"), (F.max("value") >= 90).alias("favorited"))
     p = C.profiles(w, _vectors(spark, sf_dir).select("event", "embedding"), F.lit("2024-02-01").cast("timestamp_ntz"))
-    return p.select("user", F.posexplode("profile").alias("i", "v")).select("user", F.col("i").cast("long").alias("i"), F.round("v", 5).alias("v"))
+    return p.select("user", F.posexplode("profile").alias("i", "v")).select("user", F.col("i").cast("long").alias("i"), (F.round("v", 5) + 0.0).alias("v"))
 
 
 _POP = """, n AS (SELECT e, count(DISTINCT u) AS c FROM seen GROUP BY 1),
-ev AS (SELECT p_partkey AS e, p_brand AS story, p_type AS topic, coalesce(max(o_orderdate), TIMESTAMP '1995-01-01') AS at FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2, 3),
-pop AS (SELECT ev.e, story, topic, ln(1 + coalesce(c, 0)) * exp(-ln(2) * greatest(epoch(TIMESTAMP '2001-08-02' - at) / 86400.0, 0) / 300) AS score FROM ev LEFT JOIN n ON n.e = ev.e)
+ev AS (SELECT p_partkey AS e, p_brand AS story, p_type AS topic, coalesce(max(o_orderdate), TIMESTAMP '1995-01-01') AS latest FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2, 3),
+pop AS (SELECT ev.e, story, topic, ln(1 + coalesce(c, 0)) * exp(-ln(2) * greatest(epoch(TIMESTAMP '2001-08-02' - latest) / 86400.0, 0) / 300) AS score FROM ev LEFT JOIN n ON n.e = ev.e)
 """
 
 
@@ -93,12 +93,12 @@ bl AS (SELECT coalesce(best.u, c2.u) AS u, coalesce(best.e, c2.e) AS e, round(0.
 gr AS (SELECT bl.*, p_brand AS story, row_number() OVER (PARTITION BY u, p_brand ORDER BY score DESC, e) AS ig FROM bl JOIN part ON p_partkey = e),
 kp AS (SELECT *, count(*) FILTER (WHERE ig = 1) OVER (PARTITION BY u) AS groups FROM gr),
 rk AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, e)::INT AS rank FROM kp WHERE ig = 1 OR groups < 10)
-SELECT u AS "user", e AS event, story, rank, round(score, 6) AS score FROM rk WHERE rank <= 10""")
+SELECT u AS "user", e AS event, story, rank, score FROM rk WHERE rank <= 10""")
 def blend_story_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = T.consumed(spark, sf_dir).select("user", "event").filter("event % 5 = 0")  # stands in for a vector score
     cbf = R.top_per(own.withColumn("cbf", (F.col("event") % 97).cast("double") / 97), ["user"], [F.desc("cbf"), F.col("event")], 20)
     scored = C.blend(cbf, _cf(spark, sf_dir)).withColumn("score", F.round("score", 9)).join(T.events(spark, sf_dir).select("event", "story"), "event")
-    return C.one_per_group(scored).select("user", "event", "story", "rank", F.round("score", 6).alias("score"))
+    return C.one_per_group(scored).select("user", "event", "story", "rank", "score")
 
 
 _HOLD = _CONSUMED + """, h AS (SELECT seen.*, prim.e IS NOT NULL AS el FROM seen LEFT JOIN prim ON prim.e = seen.e),
@@ -131,7 +131,7 @@ _GRID = """WITH s AS (SELECT event_id, user_id AS u, CAST(event_id % 101 AS DOUB
 g AS (SELECT i / 10.0 AS alpha FROM generate_series(0, 10) t(i)),
 r AS (SELECT alpha, u, rel, row_number() OVER (PARTITION BY alpha, u ORDER BY round(alpha * a + (1 - alpha) * b, 9) DESC, event_id) AS rank FROM s, g),
 n AS (SELECT u, sum(CAST(rel AS INT)) AS n FROM s GROUP BY 1 HAVING sum(CAST(rel AS INT)) > 0),
-d AS (SELECT alpha, r.u, sum(CASE WHEN rel AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) / any_value(list_sum(list_transform(generate_series(1, least(n, 10)), lambda i: 1 / log2(i + 1)))) AS ndcg FROM r JOIN n ON n.u = r.u GROUP BY 1, 2)
+d AS (SELECT alpha, r.u, sum(CASE WHEN rel AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) / any_value(list_sum(list_transform(generate_series(1, CAST(least(n, 10) AS BIGINT)), lambda i: 1 / log2(i + 1)))) AS ndcg FROM r JOIN n ON n.u = r.u GROUP BY 1, 2)
 """
 
 
@@ -175,7 +175,7 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.roc_auc(_scored(spark, sf_dir)).select(F.round("roc_auc", 6).alias("roc_auc"))
 
 
-@register("fbeta_threshold", _CURVE + ", f AS (SELECT score AS threshold, 1.25 * precision * recall / (0.25 * precision + recall) AS f, precision, recall FROM r) SELECT threshold, round(f, 6) AS f, round(precision, 6) AS precision, round(recall, 6) AS recall FROM f ORDER BY round(f.f, 12) DESC, f.recall DESC, f.precision DESC, threshold DESC LIMIT 1")
+@register("fbeta_threshold", _CURVE + ", f AS (SELECT score AS threshold, coalesce(1.25 * precision * recall / nullif(0.25 * precision + recall, 0), 0) AS f, precision, recall FROM r) SELECT threshold, round(f, 6) AS f, round(precision, 6) AS precision, round(recall, 6) AS recall FROM f ORDER BY round(f.f, 12) DESC, f.recall DESC, f.precision DESC, threshold DESC LIMIT 1")
 def fbeta_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = E.best_threshold(_scored(spark, sf_dir))
     return b.select("threshold", *[F.round(c, 6).alias(c) for c in ("f", "precision", "recall")])
