@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .storage import Scratch
 
+#: Fewest occurrences of a word with its own class: rarer ones tell how likely unknown words are, so they stay in the tail.
+OFTEN = 3
 #: Tail classes; all classes (an unsigned 16-bit number holds them); the class of the end of a text.
 TAIL, CLASSES = 256, 1 << 16
 END = TAIL
@@ -89,7 +91,7 @@ def vocabulary(train: DataFrame, scratch: Scratch) -> Vocabulary:
     words = scratch.keep(counted, "words")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = train.count()
-    top = words.orderBy(F.desc("n"), "h").limit(HEADS).toPandas().sort_values("h")  # HEADS rows at most
+    top = words.filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(HEADS).toPandas().sort_values("h")  # HEADS rows at most
     heads, counts = top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
     # tail = all - heads, by class: TAIL rows
     per = words.groupBy("g").agg(F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("once")).toPandas()
