@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import Scratch
+
 #: log2 of the number of bins; stored bits a bin; probes before an empty bin takes the next filled one.
 BIN_BITS, LOW_BITS, PROBES = 7, 8, 24
 
@@ -106,15 +108,19 @@ def with_next(docs: DataFrame, carry: list[str], width: int = 256) -> DataFrame:
     levels = 1
     while span > width:
         span, levels = span // width + 2, levels + 1
-    follows = _link(docs.select(bucket.alias("__own")).distinct(), levels, width)
+    follows = _link(docs.select(bucket.alias("__own")).distinct(), levels, width, Scratch(docs.sparkSession, "order"))
     bridge = follows.join(first, F.col("__succ") == F.col("__fb")).select(F.col("__own").alias("__k"), *[f"__first_{c}" for c in carry])
     out = dealt.join(bridge, F.col("__b") == F.col("__k"), "left")
     out = out.withColumns({f"next_{c}": F.coalesce(f"__lead_{c}", f"__first_{c}") for c in carry})
     return out.drop("__b", "__k", *[f"__lead_{c}" for c in carry], *[f"__first_{c}" for c in carry])
 
 
-def _link(keys: DataFrame, levels: int, width: int) -> DataFrame:
-    """(__own, __succ): every key with the next one by descending order, the last with the first."""
+def _link(keys: DataFrame, levels: int, width: int, scratch: Scratch) -> DataFrame:
+    """(__own, __succ): every key with the next one by descending order, the last with the first.
+
+    Each level's keys, one for width of the level below, are written, so that plans don't double with every level.
+    """
+    keys = scratch.keep(keys, f"keys-{levels}")
     own = F.col("__own")
     if levels == 1:  # at most width + 3 rows
         down = Window.orderBy(own.desc())
@@ -123,7 +129,7 @@ def _link(keys: DataFrame, levels: int, width: int) -> DataFrame:
     keyed = keys.withColumn("__u", F.floor(own / width).cast("long"))
     kept = keyed.withColumn("__n", F.lead(own).over(Window.partitionBy("__u").orderBy(own.desc())))
     first = keyed.groupBy("__u").agg(F.max(own).alias("__f"))
-    upper = _link(first.select(F.col("__u").alias("__own")), levels - 1, width).withColumnsRenamed({"__own": "__uo", "__succ": "__un"})
+    upper = _link(first.select(F.col("__u").alias("__own")), levels - 1, width, scratch).withColumnsRenamed({"__own": "__uo", "__succ": "__un"})
     bridge = upper.join(first, F.col("__un") == F.col("__u")).select("__uo", "__f")
     return kept.join(bridge, F.col("__u") == F.col("__uo"), "left").select("__own", F.coalesce("__n", "__f").alias("__succ"))
 

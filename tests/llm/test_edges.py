@@ -48,7 +48,7 @@ def test_interactions_are_learned():
     rng = np.random.default_rng(1)
     row, at, y = [], [], []
     for i in range(400):
-        a, b = rng.random(2) < 0.5
+        a, b = (int(x) for x in rng.random(2) < 0.5)
         row += [i] * (a + b)
         at += [0] * a + [1] * b
         y.append(float(a and b))
@@ -173,7 +173,7 @@ def test_fingerprints(odd, none):
     assert by[1]["near_edited"] == 1 and fingerprints.compare_with_edits(none).count() == 0
 
 
-@pytest.mark.parametrize("width", [2, 3, 256])
+@pytest.mark.parametrize("width", [16, 256])
 def test_order_of_documents(spark, width):
     ids = [1, 2, 3, 10, 11, 500, 501, 70_000, 10**12, -5, -6]
     df = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(None, "tnone")], "doc_id long, t string")
