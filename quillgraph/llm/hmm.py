@@ -91,7 +91,16 @@ def vocabulary(train: DataFrame, scratch: Scratch) -> Vocabulary:
     words = scratch.keep(counted, "words")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = train.count()
-    top = words.filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(HEADS).toPandas().sort_values("h")  # HEADS rows at most
+    # the count from which words are heads, from a histogram of at most 4,096 bins: a sort by limit would send HEADS rows of every task
+    often = words.filter(F.col("n") >= OFTEN).withColumn("bin", F.floor(F.log2(F.col("n").cast("double")) * 64))
+    bins = sorted(((r["bin"], r["k"]) for r in often.groupBy("bin").agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    cut, held = 1 << 30, 0
+    for at, k in bins:
+        held += k
+        if held > HEADS:
+            break
+        cut = at
+    top = often.filter(F.col("bin") >= cut).select("h", "g", "n").toPandas().sort_values("h")  # HEADS rows at most
     heads, counts = top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
     # tail = all - heads, by class: TAIL rows
     per = words.groupBy("g").agg(F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("once")).toPandas()
