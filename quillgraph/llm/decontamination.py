@@ -182,7 +182,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, threshold: fl
     """(doc_id, item_id, score, start, end): the best alignment of each test item with each document that holds it.
 
     score is the alignment's score as a part of the item's best possible;
-    start and end are character offsets.  Null or empty texts and items hold
+    start and end are character offsets.  An item of fewer words than a seed
+    is only found in texts as short.  Null or empty texts and items hold
     nothing; repeated rows of either table give repeated results; empty
     tables give none.  Other columns are not read.
     """

@@ -45,7 +45,7 @@ def tensor_keys(values: np.ndarray, counts: np.ndarray, rows: int = ROWS, small:
     one, two = np.stack(parts[:small], 1), np.stack(parts[small:], 1)
     table = np.arange(small * small, dtype=np.uint64).reshape(1, small, small)
     keys = K.mix(one[:, :, None] * np.uint64(3) + two[:, None, :] + table)
-    return keys.reshape(len(counts), -1), (low & np.uint64(255)).astype(np.uint8)
+    return keys.reshape(len(counts), small * small), (low & np.uint64(255)).astype(np.uint8)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
