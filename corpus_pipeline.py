@@ -13,6 +13,8 @@ from quillgraph.llm import decontamination, mixing, nearness, suffixes, toxicity
 from quillgraph.llm.storage import Scratch, ensure_importable
 
 TOXIC_FROM = 0.3
+#: Per cent of their five-word shingles that near copies share; op4 links from its own 85.
+NEAR_PERCENT = 80
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component."""
     ensure_importable(spark)
-    return nearness.one_of_each(docs, Scratch(spark, "pipeline-nearness"))
+    return nearness.one_of_each(docs, Scratch(spark, "pipeline-nearness"), NEAR_PERCENT)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,12 +5,14 @@ key of table (i, j) pairs the i-th of one with the j-th of the other, so
 2 * M * ROWS minhash values serve M * M tables of 2 * ROWS each.  Texts that
 share a key and whose stored minhash bytes agree enough are candidates; their
 groups are split into blocks, and full shingle sets decide within each block.
+M and the bytes that must agree follow from the similarity that links.
 Tasks emit spanning forests of what they found, never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +24,33 @@ from .graphs import components, forest
 from .storage import Scratch
 from .suffixes import _NULL_ID, _pack, _unpack
 
-#: Minhash values of a small hash, small hashes of a collection; words of a shingle.
-ROWS, SMALL, WORDS = 3, 8, 5
-#: Stored minhash bytes that must agree, of 2 * ROWS * SMALL: at a similarity of 0.85 one pair in 5,000 has fewer.
-AGREE = 32
+#: Minhash values of a small hash; words of a shingle.
+ROWS, WORDS = 3, 5
+#: Part of the pairs at the threshold that may share no table, and that may have too few equal minhash bytes.
+MISS, FEWER = 0.001, 0.0004
 #: Members of a block; larger buckets and groups are dealt out by pairs of blocks.
 BLOCK = 1024
 
 
-def tensor_keys(values: np.ndarray, counts: np.ndarray, rows: int = ROWS, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
+def tensor_size(percent: int) -> int:
+    """Small hashes of a collection, the fewest that miss a pair at the threshold with a probability of MISS at most."""
+    apart, small = 1 - (percent / 100) ** ROWS, 1
+    while 1 - (1 - apart**small) ** 2 > MISS:
+        small += 1
+    return small
+
+
+def agreement(percent: int) -> int:
+    """Stored minhash bytes that must agree: a part of FEWER at most of the pairs at the threshold has less."""
+    hashes = 2 * ROWS * tensor_size(percent)
+    same = percent / 100 + (1 - percent / 100) / 256
+    below, agree = 0.0, 0
+    while (below := below + comb(hashes, agree) * same**agree * (1 - same) ** (hashes - agree)) <= FEWER:
+        agree += 1
+    return agree
+
+
+def tensor_keys(values: np.ndarray, counts: np.ndarray, small: int, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(keys, minhash bytes) of each non-empty set: values holds the sets one after the other."""
     begin = np.cumsum(counts) - counts
     rng = np.random.default_rng(5)
@@ -48,25 +68,28 @@ def tensor_keys(values: np.ndarray, counts: np.ndarray, rows: int = ROWS, small:
     return keys.reshape(len(counts), small * small), (low & np.uint64(255)).astype(np.uint8)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, j, data, offsets in K.chunks(*K.buffers(batch.column("text"))):
-            values, counts = K.shingle_sets(data, offsets, WORDS)
-            acc = np.zeros(len(values) + 1, np.uint64)
-            np.cumsum(K.mix(values ^ np.uint64(0x5851F42D4C957F2D)), out=acc[1:])
-            end = np.cumsum(counts)
-            cls = K.mix(acc[end] - acc[end - counts] + counts.astype(np.uint64)).view(np.int64)
-            some = counts > 0
-            keys, sig = tensor_keys(values, counts[some])
-            where = np.cumsum(some) - 1
-            take = pa.array(np.where(some, where, 0), mask=~some)
-            width = keys.shape[1]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * width), pa.array(keys.ravel().view(np.int64)))
-            sigs = pa.array([x.tobytes() for x in sig], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("did").slice(i, j - i), batch.column("th").slice(i, j - i), pa.array(counts), pa.array(cls, mask=~some), lists.take(take), sigs.take(take)],
-                ["did", "th", "n", "cls", "keys", "sig"],
-            )
+def _describe(small: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in K.chunks(*K.buffers(batch.column("text"))):
+                values, counts = K.shingle_sets(data, offsets, WORDS)
+                acc = np.zeros(len(values) + 1, np.uint64)
+                np.cumsum(K.mix(values ^ np.uint64(0x5851F42D4C957F2D)), out=acc[1:])
+                end = np.cumsum(counts)
+                cls = K.mix(acc[end] - acc[end - counts] + counts.astype(np.uint64)).view(np.int64)
+                some = counts > 0
+                keys, sig = tensor_keys(values, counts[some], small)
+                where = np.cumsum(some) - 1
+                take = pa.array(np.where(some, where, 0), mask=~some)
+                width = keys.shape[1]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * width), pa.array(keys.ravel().view(np.int64)))
+                sigs = pa.array([x.tobytes() for x in sig], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("did").slice(i, j - i), batch.column("th").slice(i, j - i), pa.array(counts), pa.array(cls, mask=~some), lists.take(take), sigs.take(take)],
+                    ["did", "th", "n", "cls", "keys", "sig"],
+                )
+
+    return run
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], key: Callable[[dict], object]) -> Iterator[list[dict]]:
@@ -199,10 +222,10 @@ def _classes(docs: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame
     """(did, th, n, cls) of every row; (cls, did, th) of every class's first row; (node, root) of linked classes."""
     text = F.coalesce("text", F.lit(""))
     named = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
-    told = scratch.keep(named.mapInArrow(_describe, "did long, th long, n long, cls long, keys array<long>, sig binary"), "described")
+    told = scratch.keep(named.mapInArrow(_describe(tensor_size(percent)), "did long, th long, n long, cls long, keys array<long>, sig binary"), "described")
     classes = told.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("did", "th", "n", "sig", "keys")).alias("r"))
     classes = scratch.keep(classes.select("cls", "r.*"), "classes")
-    groups = candidate_groups(classes, scratch, AGREE, percent, "near")
+    groups = candidate_groups(classes, scratch, agreement(percent), percent, "near")
     wanted = groups.join(classes.select("cls", "did", "th"), groups["node"] == classes["cls"]).select("cls", "root", "did", "th")
     packed = named.mapInArrow(_pack, "did long, th long, z binary, n_bytes long").join(wanted, ["did", "th"]).drop("did", "th")
     packed = scratch.keep(packed, "texts").dropDuplicates(["cls"])  # repeated rows have one text
