@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Test items come in blocks of bounded size.  A first pass counts the items'
-words in the corpus; an item's seeds are its n-grams that those frequencies
-make rare (not the n-grams that are rarely met: a passage that leaked widely
-keeps its seeds).  A second pass finds the seeds in every text and aligns the
-item, word by word, with the surroundings of its hits, so edited copies are
-scored too.
+"""Benchmark decontamination: shared n-grams, then Smith-Waterman alignment.
+
+Test items come in blocks of bounded size.  A text and an item that share any
+n-gram are a candidate, whatever the size of the corpus and however often the
+item leaked.  Only parts of the text that are dense enough in the item's words
+to hold an alignment at the threshold are aligned with it, word by word, so
+edited copies are scored too and nothing that could score is passed over.
 """
 
 from __future__ import annotations
@@ -21,8 +20,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .storage import Scratch
 
-#: Words of a seed; its expected number in the corpus at most; bytes of test items in a block.
-SEED, RARE, BLOCK_BYTES = 3, 0.5, 4_000_000
+#: Words of a seed; bytes of test items in a block.
+SEED, BLOCK_BYTES = 3, 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Part of the best score that an item could have from which a document is contaminated.
 THRESHOLD = 0.5
@@ -50,20 +49,15 @@ class Items:
         h, _, _, per = word_hashes(*K.buffers(pa.array(texts, pa.large_string())))
         return cls(ids, h, per)
 
-    def seeds(self, seen: dict[int, int], total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted seed hashes with their item and position.  An item without a rare gram takes its rarest; one shorter than a seed its whole."""
-        grams, per, at = K.gram_hashes(self.words.view(np.uint64), self.counts, SEED, whole_short=True)
+    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes of all grams with their item, each pair once; an item shorter than a seed has its whole."""
+        grams, per, _ = K.gram_hashes(self.words.view(np.uint64), self.counts, SEED, whole_short=True)
         item = np.repeat(np.arange(len(self.ids)), per)
-        share = np.log([max(seen.get(int(w), 0), 0.5) / max(total, 1) for w in self.words]) if len(self.words) else np.zeros(0)
-        acc = np.concatenate([[0.0], np.cumsum(share)])
-        stop = np.minimum(at + SEED, np.cumsum(self.counts)[item] if len(item) else at)
-        expected = np.exp(acc[stop] - acc[at]) * max(total, 1)
-        least = np.full(len(self.ids), np.inf)
-        np.minimum.at(least, item, expected)
-        take = (expected <= RARE) | (expected <= least[item])
-        pos = at - (np.cumsum(self.counts) - self.counts)[item]
-        order = np.argsort(grams[take], kind="stable")
-        return grams[take][order], item[take][order], pos[take][order]
+        order = np.lexsort((item, grams))
+        grams, item = grams[order], item[order]
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (item[1:] != item[:-1])
+        return grams[new], item[new]
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -82,54 +76,46 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best, end_a, end_b
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
-    """(score as a part of the item's best possible, first word, end word in text)."""
-    score, ea, eb = smith_waterman(item, text)
-    _, _, back = smith_waterman(item[:ea][::-1], text[:eb][::-1]) if score else (0, 0, 0)
-    return score / (MATCH * len(item)), eb - back, eb
-
-
-def _word_counts(docs: DataFrame, words: np.ndarray) -> tuple[dict[int, int], int]:
-    """How often each of these words is in the corpus, and the number of all its words."""
-    shipped = docs.sparkSession.sparkContext.broadcast(np.unique(words))  # words of one block
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shipped.value
-        sieve = np.zeros(1 << 20, bool)
-        sieve[known & ((1 << 20) - 1)] = True
-        n, total = np.zeros(len(known), np.int64), 0
-        for batch in batches:
-            for _, _, data, offsets in K.chunks(*K.buffers(batch.column("text"))):
-                h, _, _, _ = word_hashes(data, offsets)
-                total += len(h)
-                h = h[sieve[h & ((1 << 20) - 1)]]
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                n += np.bincount(at[known[at] == h], minlength=len(known))
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([*known[some], None], pa.int64()), pa.array([*n[some], total], pa.int64())], ["w", "n"])
+def align(item: np.ndarray, text: np.ndarray, regions: list[tuple[int, int]], threshold: float) -> tuple[float, int, int] | None:
+    """(score as a part of the item's best possible, first word, end word in text) of the best alignment in the regions, if it is at the threshold."""
+    score, a, ea, eb = max(((s, a, i, j) for a, b in regions for s, i, j in (smith_waterman(item, text[a:b]),)), key=lambda x: (x[0], -x[1]))
+    if score / (MATCH * len(item)) < threshold:
+        return None
+    _, _, back = smith_waterman(item[:ea][::-1], text[a : a + eb][::-1]) if score else (0, 0, 0)
+    return score / (MATCH * len(item)), a + eb - back, a + eb
 
-    if not len(words):
-        return {}, 0
-    rows = docs.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()  # one row a word of the block
-    return {r["w"]: r["n"] for r in rows if r["w"] is not None}, sum(r["n"] for r in rows if r["w"] is None)
 
+def _regions(words: np.ndarray, times: np.ndarray, length: int, threshold: float) -> list[tuple[int, int]]:
+    """Parts of a text that hold every alignment at the threshold with an item of ``length`` words, of which word w has times[w].
 
-def _windows(starts: np.ndarray, length: int, size: int) -> list[tuple[int, int]]:
-    """Parts of a text of ``size`` words to align with an item: around the places where hits would have it begin."""
-    slack = 4 + length // 4
-    order = np.sort(starts)
-    cuts = np.flatnonzero(np.diff(order) > length + 2 * slack) + 1
-    return [(max(0, int(g[0]) - slack), min(size, int(g[-1]) + length + slack)) for g in np.split(order, cuts)]
+    Such an alignment matches threshold * length words at least, and its gaps
+    cost less than its matches bring, so it spans a bounded part of the text;
+    a word counts there as often as the item has it at most.
+    """
+    span = min(length + int(np.ceil(MATCH * length * (1 - threshold) / -GAP)), len(words))
+    own = np.flatnonzero(times[words])
+    order = own[np.argsort(words[own], kind="stable")]
+    w = words[order]
+    k = np.arange(len(order)) - times[w]  # where the last one stands that makes this one too many
+    before = np.where((k >= 0) & (w[np.maximum(k, 0)] == w), order[np.maximum(k, 0)], -1)
+    start = np.maximum(np.maximum(before, order - span) + 1, 0)  # it counts in the spans that begin from here to its own place
+    acc = np.cumsum(np.bincount(start, minlength=len(words) + 1) - np.bincount(order + 1, minlength=len(words) + 1))
+    dense = np.flatnonzero(acc[: len(words) - span + 1] >= threshold * length - 1e-9)
+    if not len(dense):
+        return []
+    cuts = np.flatnonzero(np.diff(dense) > span) + 1
+    return [(int(g[0]), int(g[-1]) + span) for g in np.split(dense, cuts)]
 
 
 def _scan(docs: DataFrame, items: Items, threshold: float, drop: bool = False) -> DataFrame:
     """The leaks of a block of items, or with drop the rows of docs without any."""
-    seen, total = _word_counts(docs, items.words)
-    shipped = docs.sparkSession.sparkContext.broadcast((items, *items.seeds(seen, total)))  # one block
+    vocabulary, spelt = np.unique(items.words, return_inverse=True)
+    shipped = docs.sparkSession.sparkContext.broadcast((items, vocabulary, spelt, *items.seeds()))  # one block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, seeds, seed_item, seed_at = shipped.value
+        items, vocabulary, spelt, seeds, seed_item = shipped.value
         begin = np.cumsum(items.counts) - items.counts
+        times = np.zeros(len(vocabulary) + 1, np.int64)  # the last stands for all words that no item has
         sieve = np.zeros(1 << 20, bool)
         sieve[seeds & np.uint64((1 << 20) - 1)] = True
         for batch in batches:
@@ -137,23 +123,26 @@ def _scan(docs: DataFrame, items: Items, threshold: float, drop: bool = False) -
             for i, _, data, offsets in K.chunks(*K.buffers(batch.column("text"))):
                 h, s, e, per = word_hashes(data, offsets)
                 first = np.cumsum(per) - per
-                grams, each, at = K.gram_hashes(h.view(np.uint64), per, SEED, whole_short=True)
+                grams, each, _ = K.gram_hashes(h.view(np.uint64), per, SEED, whole_short=True)
+                row = np.repeat(np.arange(len(per)), each)
                 some = np.flatnonzero(sieve[grams & np.uint64((1 << 20) - 1)]) if len(seeds) else np.zeros(0, np.int64)
                 lo, hi = np.searchsorted(seeds, grams[some], "left"), np.searchsorted(seeds, grams[some], "right")
-                n = hi - lo
-                hit = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                row = np.repeat(np.repeat(np.arange(len(per)), each)[some], n)
-                word = np.repeat(at[some], n) - first[row]
-                item, start = seed_item[hit], word - seed_at[hit]
-                key = row * len(items.ids) + item
-                order = np.argsort(key, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else ():
-                    r, t = int(row[part[0]]), int(item[part[0]])
+                some, lo, hi = some[hi > lo], lo[hi > lo], hi[hi > lo]
+                for part in np.split(np.arange(len(some)), np.flatnonzero(np.diff(row[some])) + 1) if len(some) else ():
+                    r = int(row[some[part[0]]])
                     text = h[first[r] : first[r] + per[r]]
-                    want = items.words[begin[t] : begin[t] + items.counts[t]]
-                    got = max(((*align(want, text[a:b]), a) for a, b in _windows(start[part], len(want), len(text))), key=lambda x: (x[0], -x[3]))
-                    if got[0] >= threshold:
-                        a, b = first[r] + got[3] + got[1], first[r] + got[3] + got[2]
+                    at = np.minimum(np.searchsorted(vocabulary, text), len(vocabulary) - 1)
+                    at[vocabulary[at] != text] = len(vocabulary)
+                    met = {*zip(lo[part].tolist(), hi[part].tolist(), strict=True)}
+                    for t in np.unique(np.concatenate([seed_item[x:y] for x, y in met])).tolist():
+                        words = slice(begin[t], begin[t] + items.counts[t])
+                        np.add.at(times, spelt[words], 1)
+                        regions = _regions(at, times, int(items.counts[t]), threshold)
+                        times[spelt[words]] = 0
+                        got = align(items.words[words], text, regions, threshold) if regions else None
+                        if not got:
+                            continue
+                        a, b = first[r] + got[1], first[r] + got[2]
                         span = [int(((data[offsets[r] : p] & 0xC0) != 0x80).sum()) for p in (s[a], e[b - 1])]
                         clean[i + r] = False
                         found.append((ids[i + r].as_py(), items.ids[t], got[0], *span))
