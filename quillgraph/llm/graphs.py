@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import spread_lookup
 from .storage import Scratch
 
 
@@ -31,26 +32,30 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, root) of every node of edges (a, b), longs: root is the component's smallest node.
 
-    Alternates large and small stars, each a minimum by node and a join, so
-    that no task sees more than a part of a component (a hot node's rows can
-    be split); every round is written to the shared folder.
+    Alternates large and small stars, each a minimum by node and a lookup of
+    it, until nothing changes.  The minima are combined before the shuffle and
+    a hot node's edges are looked up in a broadcast, so no task gets a whole
+    component.  Every round is written to the shared folder.
     """
 
     def told(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    def with_least(df: DataFrame, n: int) -> DataFrame:
+        low = df.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("__c"))
+        return spread_lookup(df, low, "a", "__c", n)
+
     now = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     before, k = told(now), 0
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        each = large.join(low, "a")
-        small = each.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        large = with_least(both, 2 * before[0]).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        each = with_least(large, before[0])  # at most as many edges as before: an edge gives one
+        # every node but the smallest has an edge to its least neighbour here; the others' go to that neighbour
+        small = each.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         k += 1
-        now, after = scratch.keep(small, f"{name}-{k}"), None
+        now = scratch.keep(small, f"{name}-{k}")
         after = told(now)
         scratch.drop(f"{name}-{k - 1}")
         if after == before:

@@ -1,15 +1,20 @@
 """Substring deduplication by paragraphs: MinHash banding, exact Jaccard, components.
 
-Paragraphs are lines of at least MIN_WORDS words.  The banding is tuned so
-that a pair at the similarity threshold is missed with the given small
-probability; candidate groups are verified on full shingle sets, in blocks;
-each component of links keeps its first paragraph (by doc_id and place) and
-the others are removed.
+Paragraphs are lines.  So that a passage inside a line, or over several, is
+met too, lines are also cut into blocks where their own words say so: at the
+word whose trigram hash is the smallest within REACH words to either side.
+Equal passages have equal blocks, wherever they stand.  Lines and blocks go
+through the same steps: equal shingle sets are one class; banding tuned to the
+similarity finds candidates; full sets decide; links make components.  Next
+to a block that occurs again, the words that follow (or precede) it in two
+places alike are its rim.  What adjoining linked lines, blocks and rims cover
+is a stretch.  The first member of a component, by doc_id and place, stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .nearness import candidate_groups, linked
+from .joins import spread_lookup
+from .nearness import candidate_groups, distinct_classes, linked, set_hashes
 from .storage import Scratch
-from .suffixes import _NULL_ID, _pack, _unpack
+from .suffixes import _NULL_ID, _unpack
 
-MIN_WORDS, WORDS, PERCENT, MISS = 20, 5, 80, 0.001
-#: Most minhash values of a paragraph.
-HASHES = 32
+WORDS, PERCENT, REACH = 5, 80, 9
+#: Words of a stretch from which it is a passage; blocks inside lines are only removed within passages.
+PASSAGE = 50
+#: Bands of units with at least LONG shingles and of those with fewer; a unit near the bound has both kinds.
+LONG, MISS, SHORT_MISS, HASHES, SHORT_HASHES = 20, 0.001, 0.01, 32, 10
+#: Part of the pairs at the threshold that may have too few equal minhash bytes.
+_SIGMAS = 3.6
+_END = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def tuned_bands(similarity: float = PERCENT / 100, miss: float = MISS, hashes: int = HASHES) -> tuple[int, int]:
@@ -38,105 +49,331 @@ def tuned_bands(similarity: float = PERCENT / 100, miss: float = MISS, hashes: i
 
 def agreement(similarity: float, hashes: int) -> int:
     """Minhash values that pairs at the threshold share, less 3.6 standard deviations."""
-    return int(similarity * hashes - 3.6 * np.sqrt(hashes * similarity * (1 - similarity)))
+    return int(similarity * hashes - _SIGMAS * np.sqrt(hashes * similarity * (1 - similarity)))
 
 
-def band_keys(values: np.ndarray, counts: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, minhash bytes) of non-empty sets laid out one after the other."""
-    begin = np.cumsum(counts) - counts
-    rng = np.random.default_rng(10)
-    seeds = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    low = np.stack([np.minimum.reduceat(K.mix(values * s), begin) for s in seeds], 1)
-    keys = np.zeros((len(counts), bands), np.uint64)
+def band_keys(low: np.ndarray, bands: int, rows: int, kind: int) -> np.ndarray:
+    """Keys of the bands over the first bands * rows minhash values."""
+    keys = np.zeros((len(low), bands), np.uint64)
     for b in range(bands):
-        keys[:, b] = b + 1
+        keys[:, b] = 2 * b + kind + 1
         for k in range(rows):
             keys[:, b] = K.mix(keys[:, b] * np.uint64(31) + low[:, b * rows + k])
-    return keys, (low & np.uint64(255)).astype(np.uint8)
+    return keys
+
+
+def minima(values: np.ndarray, counts: np.ndarray, hashes: int) -> np.ndarray:
+    """Minhash values of non-empty sets laid out one after the other."""
+    begin = np.cumsum(counts) - counts
+    rng = np.random.default_rng(10)
+    seeds = rng.integers(1, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.stack([np.minimum.reduceat(K.mix(values * s), begin) for s in seeds], 1) if len(counts) else np.zeros((0, hashes), np.uint64)
+
+
+@dataclass
+class Units:
+    """Lines and blocks of a chunk of texts, in the order of their places; word numbers and bytes count from the chunk's start."""
+
+    row: np.ndarray
+    first: np.ndarray  # word
+    size: np.ndarray  # words
+    start: np.ndarray  # byte
+    end: np.ndarray
+    line: np.ndarray  # whole line
+    block: np.ndarray  # a line without a cut is both
+    hashes: np.ndarray  # of all words
+    words: tuple[np.ndarray, np.ndarray]  # their starts and ends
+    per: np.ndarray  # words of each row
+
+
+def cut(data: np.ndarray, offsets: np.ndarray, reach: int = REACH) -> Units:
+    """Units of every text: lines with a word, and blocks of lines with cuts."""
+    low = K.lower_ascii(data)
+    s, e, per = K.words(low, offsets)
+    h = K.span_hashes(low, s, e)
+    row = np.repeat(np.arange(len(per)), per)
+    n = len(s)
+    if not n:
+        z = np.zeros(0, np.int64)
+        return Units(z, z, z, z, z, z > 0, z > 0, h, (s, e), per)
+    feeds = np.cumsum(low == 10)[s]
+    new = np.ones(n, bool)
+    new[1:] = (feeds[1:] != feeds[:-1]) | (row[1:] != row[:-1])
+    line_no = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)
+    length = np.diff(np.append(begin, n))
+    grams, per_line, at = K.gram_hashes(h, length, 3)
+    # lines one after the other, apart by as many end marks as the search reaches
+    laid = np.full(n + (len(begin) + 1) * reach, _END)
+    place = at + (line_no[at] + 1) * reach
+    laid[place] = grams
+    least, step, width = laid, 1, 2 * reach + 1
+    while step * 2 <= width:
+        least = np.minimum(least[:-step], least[step:])
+        step *= 2
+    if width > step:
+        least = np.minimum(least[: len(laid) - width + 1], least[width - step : width - step + len(laid) - width + 1])
+    cuts = np.zeros(n, bool)
+    cuts[at] = least[place - reach] == grams
+    starts = np.flatnonzero(new | cuts)
+    sizes = np.diff(np.append(starts, n))
+    whole = sizes == length[line_no[starts]]
+    split = begin[length != sizes[np.searchsorted(starts, begin)]]  # lines with a cut
+    first = np.concatenate([starts, split])
+    size = np.concatenate([sizes, length[line_no[split]]])
+    line = np.concatenate([whole, np.ones(len(split), bool)])
+    block = np.concatenate([np.ones(len(starts), bool), np.zeros(len(split), bool)])
+    order = np.lexsort((-size, first))
+    first, size, line, block = first[order], size[order], line[order], block[order]
+    return Units(row[first], first, size, s[first], e[first + size - 1], line, block, h, (s, e), per)
+
 
+def shingles(units: Units) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of every unit, and their numbers."""
+    total = int(units.size.sum())
+    at = np.arange(total) - np.repeat(np.cumsum(units.size) - units.size, units.size) + np.repeat(units.first, units.size)
+    grams, counts, _ = K.gram_hashes(units.hashes[at], units.size, WORDS, whole_short=True)
+    return K.distinct_per_row(grams, counts)
+
+
+_TOLD = "rid long, did long, th long, lines long, z binary, n_bytes long, first int, size int, start int, end int, line boolean, n int, cls long, cls2 long, keys array<long>, sig binary"
+
+
+def _describe(percent: int):
+    """One row for each text, with the text, and one for each unit."""
+    bands, rows = tuned_bands(percent / 100)
+    few_bands, few_rows = tuned_bands(percent / 100, SHORT_MISS, SHORT_HASHES)
+    hashes = max(bands * rows, few_bands * few_rows)
+    both = int(np.ceil(LONG * percent / 100))
 
-def _describe(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
         for batch in batches:
-            did, th = batch.column("did").to_numpy(), batch.column("th").to_numpy()
-            for i, _, data, offsets in K.chunks(*K.buffers(batch.column("text"))):
-                start, end, per = K.runs(data != 10, offsets)
-                if not len(start):
-                    continue
-                row = np.repeat(np.arange(len(per)), per)
-                place = np.arange(len(start)) - np.repeat(np.cumsum(per) - per, per)
-                low = K.lower_ascii(data)
-                s, e, _ = K.words(low, offsets)
-                words = np.diff(np.searchsorted(s, np.append(start, len(data))))
-                h = K.span_hashes(low, s, e)
-                enough = words >= MIN_WORDS
-                if not enough.any():
-                    continue
-                grams, n_grams, _ = K.gram_hashes(h, words, WORDS, whole_short=True)
-                keep = np.repeat(enough, n_grams)
-                values, n = K.distinct_per_row(grams[keep], n_grams[enough])
-                acc = np.zeros(len(values) + 1, np.uint64)
-                np.cumsum(K.mix(values ^ np.uint64(0x5851F42D4C957F2D)), out=acc[1:])
-                stop = np.cumsum(n)
-                cls = K.mix(acc[stop] - acc[stop - n] + n.astype(np.uint64))
-                keys, sig = band_keys(values, n, bands, rows)
-                r, a, b = row[enough], start[enough], end[enough]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64)))
+            rid, did, th = (batch.column(c).to_numpy() for c in ("rid", "did", "th"))
+            for i, j, data, offsets in K.chunks(*K.buffers(batch.column("text"))):
+                u = cut(data, offsets)
+                values, n = shingles(u)
+                cls, cls2 = set_hashes(values, n)
+                m, c = j - i, len(n)
+                keyed = n >= 4  # smaller sets reach the similarity only if they are equal, and are one class then
+                low = minima(values[np.repeat(keyed, n)], n[keyed], hashes)
+                nk = n[keyed]
+                long, short = nk >= both, nk < LONG
+                width = np.zeros(c, np.int64)
+                width[keyed] = long * bands + short * few_bands
+                flat = np.zeros(int(width.sum()), np.uint64)
+                at = np.cumsum(width[keyed]) - width[keyed]
+                flat[(at[long][:, None] + np.arange(bands)).ravel()] = band_keys(low[long], bands, rows, 0).ravel()
+                flat[((at + long * bands)[short][:, None] + np.arange(few_bands)).ravel()] = band_keys(low[short], few_bands, few_rows, 1).ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(m + 1), np.cumsum(width)]).astype(np.int32)), pa.array(flat.view(np.int64)))
+                bytes_ = (low & np.uint64(255)).astype(np.uint8)
+                bytes_[nk < both, few_bands * few_rows :] = 0
+                sig = np.full(c, None, object)
+                sig[keyed] = [x.tobytes() for x in bytes_]
+                packed = [codec.compress(data[a:b].tobytes(), asbytes=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                row = np.concatenate([np.arange(m), u.row])
+                unit = np.arange(m + c) < m
+                text = lambda x, kind: pa.array(np.concatenate([np.zeros(m, np.int64), x]).astype(kind), mask=unit)  # noqa: B023, E731
+                wide = lambda x: pa.array(np.concatenate([np.zeros(m, np.int64), x]), mask=unit)  # noqa: B023, E731
+                lines = np.bincount(u.row[u.line], minlength=m)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (did[i + r], th[i + r], place[enough].astype(np.int32), (a - offsets[r]).astype(np.int32), (b - offsets[r]).astype(np.int32), n.astype(np.int32), cls.view(np.int64))]
-                    + [lists, pa.array([x.tobytes() for x in sig], pa.binary())],
-                    ["did", "th", "place", "start", "end", "n", "cls", "keys", "sig"],
+                    [pa.array(x[i:j][row]) for x in (rid, did, th)]
+                    + [pa.array(np.concatenate([lines, np.zeros(c, np.int64)]), mask=~unit), pa.array(packed + [None] * c, pa.binary()), pa.array(np.concatenate([np.diff(offsets), np.zeros(c, np.int64)]), mask=~unit)]
+                    + [text(u.first - (np.cumsum(u.per) - u.per)[u.row], np.int32), text(u.size, np.int32), text(u.start - offsets[u.row], np.int32), text(u.end - offsets[u.row], np.int32)]
+                    + [pa.array(np.concatenate([np.zeros(m, bool), u.line]), mask=unit), text(n, np.int32), wide(cls), wide(cls2), lists, pa.array([None] * m + sig.tolist(), pa.binary())],
+                    _names(_TOLD),
                 )
 
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed texts of the units in a text's list."""
     codec = pa.Codec("zstd", 1)
     for batch in batches:
         for z, n, parts in zip(batch.column("z").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("parts").to_pylist(), strict=True):
             text = _unpack(codec, z, n)
-            cut = [text[p["start"] : p["end"]] for p in parts]
+            out = [text[p["start"] : p["end"]] for p in parts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([p["cls"] for p in parts], pa.int64()), pa.array([p["root"] for p in parts], pa.int64()), pa.array([codec.compress(c, asbytes=True) for c in cut], pa.binary()), pa.array([len(c) for c in cut], pa.int64())],
+                [pa.array([p["cls"] for p in parts], pa.int64()), pa.array([p["root"] for p in parts], pa.int64()), pa.array([codec.compress(c, asbytes=True) for c in out], pa.binary()), pa.array([len(c) for c in out], pa.int64())],
                 ["cls", "root", "z", "n_bytes"],
             )
 
 
-def find_repeats(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_paragraphs, n_removed, removed_bytes, removed) of every document.
+_RIM = "rid long, cls long, side int, open boolean, gone boolean, root long, ctx binary, first int, size int, start int, end int, ends array<int>"
+
+
+def _rims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For both neighbours of every repeated block: word hashes, from the border on; and where the words of one that isn't linked (open) end (or start)."""
+    codec = pa.Codec("zstd", 1)
+    for batch in batches:
+        out: list[tuple] = []
+        for rid, z, n, units in zip(*(batch.column(c).to_pylist() for c in ("rid", "z", "n_bytes", "units")), strict=True):
+            data = np.frombuffer(_unpack(codec, z, n), np.uint8)
+            u = cut(data, np.array([0, len(data)]))
+            s, e = u.words
+            first, size = u.first[u.block], u.size[u.block]
+            covered = np.zeros(len(s) + 1, np.int64)
+            for x in units:
+                covered[x["first"]] += 1
+                covered[x["first"] + x["size"]] -= 1
+            covered = np.cumsum(covered) > 0
+            for x in units:
+                if not x["again"]:
+                    continue
+                k = int(np.searchsorted(first, x["first"]))
+                if k == len(first) or first[k] != x["first"] or size[k] != x["size"]:
+                    continue  # a line with cuts: its blocks have their own rims
+                for side, b in ((1, k + 1), (-1, k - 1)):
+                    if not 0 <= b < len(first):
+                        continue
+                    a, w, told = int(first[b]), int(size[b]), not covered[first[b]]
+                    words = u.hashes[a : a + w][::side]
+                    ends = (e[a : a + w] if side == 1 else s[a : a + w][::-1]).tolist() if told else None
+                    out.append((rid, x["cls"], side, told, x["gone"], x["root"], words.tobytes(), a, w, int(s[a]), int(e[a + w - 1]), ends))
+        if out:
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], _names(_RIM))
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ctx, words it shares with a neighbour) of contexts that come in order within (cls, side); those that occur twice share all."""
+
+    def shared(x: bytes, y: bytes) -> int:
+        n = min(len(x), len(y)) // 8
+        a, b = np.frombuffer(x, np.int64, n), np.frombuffer(y, np.int64, n)
+        differ = np.flatnonzero(a != b)
+        return int(differ[0]) if len(differ) else n
+
+    def told(rows: list[list]) -> pa.RecordBatch:
+        some = [r[:4] for r in rows if r[4] and r[3]]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in some], k) for c, k in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.int32()))], ["cls", "side", "ctx", "k"])
+
+    held: list | None = None
+    for batch in batches:
+        out: list[list] = []
+        for cls, side, ctx, times, wanted in zip(*(batch.column(c).to_pylist() for c in ("cls", "side", "ctx", "times", "open")), strict=True):
+            now = [cls, side, ctx, len(ctx) // 8 if times > 1 else 0, wanted]
+            if held is not None:
+                if held[:2] == now[:2]:
+                    k = shared(held[2], ctx)
+                    held[3], now[3] = max(held[3], k), max(now[3], k)
+                out.append(held)
+            held = now
+        yield told(out)
+    if held is not None:
+        yield told([held])
+
+
+_RESULT = "rid long, n_linked long, n_passages long, longest long, n_removed long, removed_bytes long, removed array<array<int>>, components array<long>"
+
+
+def _judge(passage: int):
+    """Stretches and removals of every text from its linked units and rims."""
 
-    Counts are of paragraphs with MIN_WORDS words at least; removed lists the
-    [start, end) byte offsets of those that go, in order.  A null or empty
-    text has none; repeated rows (equal doc_id and text) are one document and
-    both keep its first paragraphs; other columns are not read.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for rid, parts in zip(batch.column("rid").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                parts.sort(key=lambda p: (p["first"], -p["size"]))
+                stretches: list[list] = []
+                for p in parts:
+                    if stretches and p["first"] <= stretches[-1][1]:
+                        stretches[-1][1] = max(stretches[-1][1], p["first"] + p["size"])
+                        stretches[-1][2].append(p)
+                    else:
+                        stretches.append([p["first"], p["first"] + p["size"], [p]])
+                lost: list[dict] = []
+                roots: set[int] = set()
+                for a, b, members in stretches:
+                    for p in members:
+                        if p["line"] or b - a >= passage:
+                            roots.add(p["root"])
+                            if p["gone"]:
+                                lost.append(p)
+                gone: list[list[int]] = []
+                until = -1
+                for p in lost:  # in the order of their first words; what adjoins is one span
+                    if gone and p["first"] <= until:
+                        gone[-1][1] = max(gone[-1][1], p["end"])
+                    else:
+                        gone.append([p["start"], p["end"]])
+                    until = max(until, p["first"] + p["size"])
+                sizes = [b - a for a, b, _ in stretches]
+                out.append((rid, sum(p["line"] for p in parts), sum(x >= passage for x in sizes), max(sizes), len(gone), sum(b - a for a, b in gone), gone, sorted(roots)))
+            if out:
+                kinds = [pa.int64()] * 6 + [pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], _names(_RESULT))
+
+    return run
+
+
+def find_repeats(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, passage: int = PASSAGE) -> DataFrame:
+    """(doc_id, n_paragraphs, n_linked, n_passages, longest, n_removed, removed_bytes, removed, components) of every document.
+
+    n_paragraphs counts the lines with a word, n_linked those of them in a
+    component of several; longest is the words of the longest stretch and
+    n_passages the number of stretches of ``passage`` words at least.  removed
+    lists, in order, the [start, end) byte offsets of what goes (words next to
+    one another in one span): lines that aren't their component's first, and
+    within passages also blocks and rims.
+    components names those that its lines, and in passages its blocks, are in.
+    Every line is compared, whatever its length.
+
+    A null or empty text has no paragraphs; a repeated row is a document of its
+    own, so all but one of several equal rows lose their lines; an empty table
+    gives no rows; columns other than doc_id and text are not read.
     """
-    bands, rows = tuned_bands(percent / 100)
     text = F.coalesce("text", F.lit(""))
-    named = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
-    schema = "did long, th long, place int, start int, end int, n int, cls long, keys array<long>, sig binary"
-    each = scratch.keep(named.mapInArrow(_describe(bands, rows), schema), "paragraphs")
-    first = F.struct("did", "place", "th", "start", "end")
-    classes = each.groupBy("cls").agg(F.count_distinct("did", "place", "th").alias("times"), F.min(first).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
-    classes = scratch.keep(classes, "classes")
-    groups = candidate_groups(classes, scratch, agreement(percent / 100, bands * rows), percent, "paragraph")
-    wanted = groups.join(classes.select("cls", "first"), F.col("node") == F.col("cls"))
-    lists = wanted.groupBy(F.col("first.did").alias("did"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct("cls", "root", F.col("first.start").alias("start"), F.col("first.end").alias("end"))).alias("parts"))
-    packed = named.mapInArrow(_pack, "did long, th long, z binary, n_bytes long").join(lists, ["did", "th"])
-    cut = packed.select("z", "n_bytes", "parts").mapInArrow(_cut, "cls long, root long, z binary, n_bytes long")
-    found = linked(scratch.keep(cut, "cut").dropDuplicates(["cls"]), scratch, percent, "paragraph")
-    rooted = classes.select("cls", "times", "first").join(found, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
-    heads = rooted.groupBy("root").agg(F.sum("times").alias("times"), F.min("first").alias("head")).filter("times > 1")
-    heads = scratch.keep(rooted.select("cls", "root").join(heads, "root").select("cls", "head"), "heads")
-    scratch.drop("cut", "classes")
-    judged = each.select("did", "th", "place", "start", "end", "cls").join(heads, "cls", "left")
-    gone = F.col("head").isNotNull() & ~((F.col("head.did") == F.col("did")) & (F.col("head.place") == F.col("place")) & (F.col("head.th") == F.col("th")))
-    per = judged.groupBy("did", "th").agg(
-        F.count_distinct("place").alias("n_paragraphs"), F.array_sort(F.collect_set(F.when(gone, F.array("start", "end")))).alias("removed")
+    named = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("doc_id", F.lit(_NULL_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
+    told = scratch.keep(named.mapInArrow(_describe(percent), _TOLD), "told")  # names the rows: it is never computed again
+    texts = told.filter("cls is null").select("rid", "z", "n_bytes")
+    place = F.struct("did", "first", "th", "rid", "size", "start", "end")
+    units, classes = distinct_classes(
+        told.filter("cls is not null"), scratch, "classes", F.count(F.lit(1)).alias("times"), F.min(place).alias("head"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")
     )
-    total = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
-    return named.select("did", "th").join(per, ["did", "th"], "left").select(
-        F.nullif("did", F.lit(_NULL_ID)).alias("doc_id"), F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(total, F.lit(0)).cast("long").alias("removed_bytes"),
-        F.coalesce("removed", F.array().cast("array<array<int>>")).alias("removed"),
+    bands, rows = tuned_bands(percent / 100)
+    few = int(np.prod(tuned_bands(percent / 100, SHORT_MISS, SHORT_HASHES)))
+    agree = (agreement(percent / 100, bands * rows), agreement(percent / 100, few), int(np.ceil(LONG * percent / 100)), few)
+    groups = candidate_groups(classes.filter("n >= 4"), scratch, agree, percent, "paragraph")
+    wanted = groups.join(classes.select("cls", "head"), F.col("node") == F.col("cls"))
+    lists = wanted.groupBy(F.col("head.rid").alias("rid")).agg(F.collect_list(F.struct("cls", "root", F.col("head.start").alias("start"), F.col("head.end").alias("end"))).alias("parts"))  # the units of one text
+    cut_out = texts.join(lists, "rid").select("z", "n_bytes", "parts").mapInArrow(_cut_out, "cls long, root long, z binary, n_bytes long")
+    found = linked(scratch.keep(cut_out, "cut"), scratch, percent, "paragraph")
+    rooted = classes.select("cls", "times", "head").join(found, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
+    heads = rooted.groupBy("root").agg(F.sum("times").alias("all"), F.min("head").alias("h")).filter("all > 1")
+    heads = rooted.select("cls", "times", "root").join(heads, "root").select("cls", "times", "root", F.col("h.rid").alias("head_rid"), F.col("h.first").alias("head_first"), (F.col("times") > 1).alias("again"))
+    heads = scratch.keep(heads, "heads")
+    scratch.drop("cut")
+    plain = units.select("rid", "first", "size", "start", "end", "line", "cls")
+    judged = spread_lookup(plain, heads, "cls", "times", plain.count()).filter("root is not null")
+    gone = (F.col("head_rid") != F.col("rid")) | (F.col("head_first") != F.col("first"))
+    judged = scratch.keep(judged.withColumn("gone", gone).drop("head_rid", "head_first"), "judged")
+    scratch.drop("heads")
+
+    per_text = judged.groupBy("rid").agg(F.collect_list(F.struct("first", "size", "cls", "root", "again", "gone")).alias("units"))  # of one text
+    rims = scratch.keep(texts.join(per_text, "rid").select("rid", "z", "n_bytes", "units").mapInArrow(_rims, _RIM), "rims")
+    contexts = rims.groupBy("cls", "side", "ctx").agg(F.count(F.lit(1)).alias("times"), F.max("open").alias("open"))
+    word = F.substring("ctx", 1, 8)  # contexts that share any word share their first
+    dealt = contexts.repartition("cls", "side", word).sortWithinPartitions("cls", "side", "ctx")
+    common = dealt.mapInArrow(_common, "cls long, side int, ctx binary, k int")
+    met = rims.filter("open").join(common, ["cls", "side", "ctx"])
+    right = F.col("side") == 1
+    upto = F.element_at("ends", F.col("k"))
+    rim_units = met.select(
+        "rid", F.when(right, F.col("first")).otherwise(F.col("first") + F.col("size") - F.col("k")).alias("first"), F.col("k").alias("size"),
+        F.when(right, F.col("start")).otherwise(upto).alias("start"), F.when(right, upto).otherwise(F.col("end")).alias("end"), F.lit(False).alias("line"), "gone", "root",
+    )
+    parts = judged.select("rid", "first", "size", "start", "end", "line", "gone", "root").unionByName(rim_units)
+    per = parts.groupBy("rid").agg(F.collect_list(F.struct("first", "size", "start", "end", "line", "gone", "root")).alias("parts"))  # of one text
+    done = per.mapInArrow(_judge(passage), _RESULT)
+    out = told.filter("cls is null").select("rid", "did", "lines").join(done, "rid", "left")
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select(
+        F.nullif("did", F.lit(_NULL_ID)).alias("doc_id"), F.col("lines").alias("n_paragraphs"), *map(number, ("n_linked", "n_passages", "longest", "n_removed", "removed_bytes")),
+        F.coalesce("removed", F.array().cast("array<array<int>>")).alias("removed"), F.coalesce("components", F.array().cast("array<long>")).alias("components"),
     )

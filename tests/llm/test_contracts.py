@@ -10,10 +10,12 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
-from quillgraph.llm import decontamination, queries, tokens
+from quillgraph.llm import decontamination, paragraphs, queries, tokens
 from quillgraph.llm import kernels as K
 
 SMALL = "/root/testdata/sf0.001"
@@ -116,8 +118,6 @@ def test_op5_base_is_exact_and_model_is_better(spark, docs):
 
 
 def test_op6_equals_full_alignment(spark, docs):
-    import pyarrow as pa
-
     b = pd.read_parquet(f"{SMALL}/benchmark.parquet")
     items = decontamination.Items.of(b.item_id.tolist(), b.text.tolist())
     begin = items.counts.cumsum() - items.counts
@@ -171,23 +171,97 @@ def test_op9_rules_and_verdicts(spark):
         assert (r.rule, r.verdict) == max(fits)[1:] if fits else pd.isna(r.rule)
 
 
+def units_of(text: str) -> tuple[list[str], list[tuple[int, int, bool, bool]]]:
+    """Words, and (first, size, whole line, block) of every line and block, cut where a word's trigram hash is the least within reach on its line."""
+    all_words: list[str] = []
+    units = []
+    for line in text.translate(LOWER).split("\n"):
+        w = WORD.findall(line)
+        if not w:
+            continue
+        h = paragraphs.cut(*K.buffers(pa.array([line]))).hashes
+        grams = K.gram_hashes(h, np.array([len(w)]), 3)[0].tolist()
+        cuts = [0] + [i for i in range(1, len(grams)) if grams[i] == min(grams[max(0, i - paragraphs.REACH) : i + paragraphs.REACH + 1])]
+        at = len(all_words)
+        blocks = list(zip(cuts, [*cuts[1:], len(w)], strict=True))
+        units += [(at + a, b - a, len(blocks) == 1, True) for a, b in blocks]
+        if len(blocks) > 1:
+            units.append((at, len(w), True, False))
+        all_words += w
+    return all_words, units
+
+
 def test_op10_equals_brute_force(spark, docs):
-    parts = []
+    """Lines and blocks by all pairs, rims by all pairs of equal blocks, stretches word by word."""
+    every = []
+    words = {}
     for d, t in sorted(zip(docs.doc_id, docs.text, strict=True)):
-        at = 0
-        for line in t.split("\n"):
-            size = len(line.encode())
-            if len(WORD.findall(line)) >= 20:
-                parts.append((d, at, at + size, shingles(line)))
-            at += size + 1
-    roots = linked([p[3] for p in parts], 80)
-    first: dict = {}
-    want = collections.defaultdict(list)
-    for i, p in enumerate(parts):
-        if first.setdefault(roots.find(i), i) != i:
-            want[p[0]].append([p[1], p[2]])
-    got = {r.doc_id: [list(x) for x in r.removed] for r in run(spark, "op10_paragraph_dedup").itertuples()}
-    assert got == {d: want.get(d, []) for d in docs.doc_id}
+        words[d], units = units_of(t)
+        every += [(d, a, n, line, block, frozenset(shingles(" ".join(words[d][a : a + n])))) for a, n, line, block in sorted(units)]
+    roots = linked([u[5] for u in every], 80)
+    size, head, same = collections.Counter(), {}, collections.Counter(u[5] for u in every)
+    for i, u in enumerate(every):
+        size[roots.find(i)] += 1
+        head[roots.find(i)] = min(head.get(roots.find(i), u[:2]), u[:2])
+    joined = [size[roots.find(i)] > 1 for i in range(len(every))]
+    cover = {d: np.zeros(len(w), bool) for d, w in words.items()}
+    for i, u in enumerate(every):
+        if joined[i]:
+            cover[u[0]][u[1] : u[1] + u[2]] = True
+    blocks = collections.defaultdict(list)
+    for i, u in enumerate(every):
+        if u[4]:
+            blocks[u[0]].append(i)
+    rims = collections.defaultdict(list)
+    for d, own in blocks.items():
+        for k, i in enumerate(own):
+            for side in (1, -1):
+                if same[every[i][5]] > 1 and 0 <= k + side < len(own):
+                    v = every[own[k + side]]
+                    rims[(every[i][5], side)].append((tuple(words[d][v[1] : v[1] + v[2]][::side]), d, v[1], v[2], None if cover[d][v[1]] else i))
+    got = {r.doc_id: r for r in run(spark, "op10_paragraph_dedup").itertuples()}
+    gone = {d: [(u[1], u[2], u[3]) for i, u in enumerate(every) if u[0] == d and joined[i] and head[roots.find(i)] != u[:2]] for d in words}
+    for (_, side), contexts in rims.items():
+        for x, d, a, n, i in contexts:
+            if i is None:
+                continue
+            k = max([next((j for j, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y))) for y, e, b, _, _ in contexts if (d, a) != (e, b)], default=0)
+            first = a if side == 1 else a + n - k
+            cover[d][first : first + k] = True
+            if k and head[roots.find(i)] != every[i][:2]:
+                gone[d].append((first, k, False))
+    for d, w in words.items():
+        s = np.flatnonzero(cover[d] & ~np.r_[False, cover[d][:-1]])
+        e = np.flatnonzero(cover[d] & ~np.r_[cover[d][1:], False]) + 1
+        lost = np.zeros(len(w), bool)
+        for a, n, line in gone[d]:
+            if line or any(x <= a and a + n <= y and y - x >= paragraphs.PASSAGE for x, y in zip(s, e, strict=True)):
+                lost[a : a + n] = True
+        text = docs.text[docs.index[docs.doc_id == d][0]].encode()
+        kept = "".join(text[a:b].decode() for a, b in zip([0, *[x[1] for x in got[d].removed]], [*[x[0] for x in got[d].removed], len(text)], strict=True))
+        assert got[d].longest == max([0, *(e - s)]) and got[d].n_passages == sum(e - s >= paragraphs.PASSAGE)
+        assert got[d].n_removed == np.count_nonzero(lost & ~np.r_[False, lost[:-1]]) and WORD.findall(kept.translate(LOWER)) == [x for x, y in zip(w, lost, strict=True) if not y]
+        assert got[d].n_linked == sum(joined[i] and u[3] for i, u in enumerate(every) if u[0] == d)
+
+
+def test_op10_finds_words_that_recur(spark):
+    """Documents with a run of 50 words that starts elsewhere too, their own text included, have a passage, few others do; the runs' words are found."""
+    sf = "/root/testdata/sf0.01"
+    docs = pd.read_parquet(f"{sf}/documents.parquet")
+    words = {d: WORD.findall(t.translate(LOWER)) for d, t in zip(docs.doc_id, docs.text, strict=True)}
+    times = collections.Counter(hash(tuple(w[i : i + 50])) for w in words.values() for i in range(len(w) - 49))
+    longest = {}
+    for d, w in words.items():
+        run = best = 0
+        for i in range(len(w) - 49):
+            run = run + 1 if times[hash(tuple(w[i : i + 50]))] > 1 else 0
+            best = max(best, run + 49 if run else 0)
+        longest[d] = best
+    got = {r.doc_id: r for r in queries.op10_paragraph_dedup(spark, sf).toPandas().itertuples()}
+    marked = {d for d, n in longest.items() if n}
+    assert sum(got[d].n_passages > 0 for d in marked) >= 0.95 * len(marked)
+    assert sum(got[d].n_passages == 0 for d in words if d not in marked) >= 0.95 * (len(words) - len(marked))
+    assert sum(min(got[d].longest, longest[d]) for d in marked) >= 0.95 * sum(longest[d] for d in marked)
 
 
 def test_pipeline_stages_by_brute_force(spark, docs):
@@ -203,7 +277,7 @@ def test_pipeline_stages_by_brute_force(spark, docs):
         now = out
     before, after = seen["near_dedup"]
     sets = [shingles(t) for t in before.text]
-    roots = linked(sets, 85)
+    roots = linked(sets, 80)  # the stage's own threshold
     assert len(after) == len({roots.find(i) for i in range(len(sets))})
     before, after = seen["suffix_dedup"]
     assert sorted(before.doc_id) == sorted(after.doc_id) and (after.n_chars == after.text.map(len)).all()

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontamination, fingerprints, hmm, mixing, nearness, paragraphs, suffixes, tokens, toxicity, urls
+from quillgraph.llm import decontamination, fingerprints, hmm, joins, mixing, nearness, paragraphs, suffixes, tokens, toxicity, urls
 from quillgraph.llm import queries as Q
+from quillgraph.llm.graphs import components
 from quillgraph.llm.storage import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, key string, did long, term string"
@@ -123,8 +124,45 @@ def test_blocks_find_the_same_links(spark, scratch, monkeypatch):
     texts = [" ".join(w if rng.random() > 0.012 else f"e{rng.randint(0, 10**6)}" for w in base) for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     whole = sorted(map(tuple, nearness.near_components(docs, scratch).collect()))
-    monkeypatch.setattr(nearness.dealt, "__defaults__", (7,))
+    monkeypatch.setattr(nearness, "BLOCK", 7)
     assert sorted(map(tuple, nearness.near_components(docs, Scratch(spark, "blocks")).collect())) == whole
+    assert len({r[2] for r in whole}) > 3  # links within a bucket and texts apart
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """6,000 near copies and 40 texts that share half with them: rows grow in proportion, and the result is as planted."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    near = [" ".join([*base[:-1], f"n{i}"]) for i in range(6000)]
+    half = [" ".join([*base[:70], *(f"h{i}x{rng.random()}" for _ in range(30))]) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(near + half)), "doc_id long, text string").repartition(4)
+    kept = []
+    plain = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: kept.append((name, out := plain(self, df, name))) or out)
+    got = {r["doc_id"]: r["component_id"] for r in nearness.near_components(docs, Scratch(spark, "large")).collect()}
+    assert got == {**dict.fromkeys(range(6000), 0), **{i: i for i in range(6000, 6040)}}
+    rounds = [n for n, _ in kept if "links" in n]
+    assert len(rounds) < 40
+
+
+def test_classes_of_one_hash_are_told_apart(spark, scratch):
+    told = spark.createDataFrame([(1, 7, 1), (2, 7, 2), (3, 7, 1), (4, 8, 5), (5, None, None)], "id long, cls long, cls2 long")
+    again, classes = nearness.distinct_classes(told, scratch, "clash", F.count(F.lit(1)).alias("times"))
+    name = {r["id"]: r["cls"] for r in again.collect()}
+    assert name[1] == name[3] != name[2] and name[5] is None and len(set(name.values())) == 4
+    assert sorted(r["times"] for r in classes.collect()) == [1, 1, 2]
+
+
+def test_hot_keys_are_spread(spark, scratch, monkeypatch):
+    """A star of 3,000 edges and many nulls: components and lookups as without spreading."""
+    monkeypatch.setattr(joins, "ROWS", 50)
+    monkeypatch.setattr(joins, "KEYS", 100)
+    rows = spark.createDataFrame([(i, 5 if i < 900 else None if i < 1000 else i) for i in range(1500)], "id long, key long")
+    table = rows.filter("key is not null").groupBy("key").count().withColumn("v", F.col("key") * 2)
+    got = {r["id"]: r["v"] for r in joins.spread_lookup(rows, table, "key", "count", 1500).collect()}
+    assert got == {i: 10 if i < 900 else None if i < 1000 else 2 * i for i in range(1500)}
+    star = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(5000, 5001), (5001, 5002)], "a long, b long")
+    assert {r["node"]: r["root"] for r in components(star, scratch, "star").collect()} == {**dict.fromkeys(range(3000), 0), **dict.fromkeys(range(5000, 5003), 5000)}
 
 
 def test_language_model(spark, odd, none, scratch):
@@ -203,9 +241,26 @@ def test_urls(spark):
 
 def test_paragraphs(spark, odd, none, scratch):
     line = PASSAGE.format(1)
-    docs = spark.createDataFrame([(1, f"{line}\nshort\n{line}"), (2, f"x\n{line.replace('quick', 'swift')}"), (3, None), (4, "short\nshort")], "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_paragraphs"], r["n_removed"]) for r in paragraphs.find_repeats(docs, scratch).collect()}
-    assert got == {1: (2, 1), 2: (1, 1), 3: (0, 0), 4: (0, 0)}
+    docs = spark.createDataFrame([(1, f"{line}\nshort\n{line}"), (2, f"x\n{line.replace('quick', 'swift')}"), (3, None), (4, "short\nshort"), (4, "short\nshort")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_paragraphs"], r["n_linked"], r["n_removed"]) for r in paragraphs.find_repeats(docs, scratch).collect())
+    assert got == [(1, 3, 3, 1), (2, 2, 1, 1), (3, 0, 0, 0), (4, 2, 2, 1), (4, 2, 2, 1)]  # the later line of document 1 goes, and every later "short"
     assert paragraphs.find_repeats(odd, Scratch(spark, "p")).count() == len(ROWS) and paragraphs.find_repeats(none, Scratch(spark, "q")).count() == 0
     bands, rows = paragraphs.tuned_bands()
     assert bands * rows <= paragraphs.HASHES and (1 - 0.8**rows) ** bands <= paragraphs.MISS
+
+
+def test_passages_inside_lines(spark, scratch):
+    """A passage of 60 words inside longer lines, over a line feed, and as a whole line: nearly all of its words are found, the first copy stays."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    inside = lambda p: " ".join([*(word() for _ in range(40)), *p, *(word() for _ in range(40))])
+    texts = [inside(passage), inside(passage), inside([*passage[:30], *passage[30:]]).replace(" ", "\n", 1), inside([]), " ".join(passage)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in paragraphs.find_repeats(docs, scratch).collect()}
+    for d in (0, 1, 2, 4):
+        assert got[d]["n_passages"] == 1 and 50 <= got[d]["longest"] <= 60
+    assert got[0]["n_removed"] == 0 and got[3]["longest"] == 0
+    for d in (1, 2, 4):
+        (a, b), = got[d]["removed"]
+        assert " ".join(texts[d].encode()[a:b].decode().split()) in " ".join(passage)
