@@ -84,8 +84,9 @@ def set_hashes(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
-def distinct_classes(told: DataFrame, scratch: Scratch, name: str, *values: Column) -> tuple[DataFrame, DataFrame]:
-    """told with a cls that tells all sets apart, and one row (cls, values) for each; told has two hashes (cls, cls2) of a set.
+def distinct_classes(told: DataFrame, scratch: Scratch, name: str, *values: Column, only: str = "true") -> tuple[DataFrame, DataFrame]:
+    """told with a cls that tells all sets apart, and one row (cls, values) for each, or those that ``only`` names (sets of one row may be left out);
+    told has two hashes (cls, cls2) of a set.
 
     One word names a class in all later steps.  Should two classes share it,
     all names are drawn anew from both hashes.
@@ -93,7 +94,7 @@ def distinct_classes(told: DataFrame, scratch: Scratch, name: str, *values: Colu
     draw = 0
     while True:
         classes = told.filter("cls is not null").groupBy("cls").agg(*values, F.min("cls2").alias("__lo"), F.max("cls2").alias("__hi"))
-        classes = scratch.keep(classes, f"{name}-{draw}")
+        classes = scratch.keep(classes.filter(only), f"{name}-{draw}")
         if classes.filter("__lo <> __hi").isEmpty():
             return told, classes.drop("__lo", "__hi")
         draw += 1
@@ -163,25 +164,16 @@ def spanning(label: np.ndarray, side: np.ndarray | None, meets: Callable[[int, n
     return xs, ys
 
 
-Agree = tuple[int, int, int, int]
-
-
-def _sketch_finder(agree: Agree, percent: int) -> Callable:
-    """Sizes and stored bytes allow the similarity.  agree: bytes that must be equal; those of sets under a number of shingles, that number, and their bytes."""
-    least, few, big, width = agree
+def _sketch_finder(agree: int, percent: int, kind: type) -> Callable:
+    """Sizes and stored minhash values (of the given kind) allow the similarity."""
 
     def find(rows: list[dict], label: np.ndarray, side: np.ndarray | None) -> tuple[list[int], list[int]]:
-        sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), -1)
+        sig = np.frombuffer(b"".join(r["sig"] for r in rows), kind).reshape(len(rows), -1)
         n = np.array([r["n"] for r in rows])
 
         def meets(x: int, y: np.ndarray) -> np.ndarray:
             y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
-            same = sig[y] == sig[x]
-            ok = same.sum(1) >= least
-            if width:
-                short = (n[y] < big) | (n[x] < big)
-                ok = np.where(short, same[:, :width].sum(1) >= few, ok)
-            return y[ok]
+            return y[(sig[y] == sig[x]).sum(1) >= agree]
 
         return spanning(label, side, meets)
 
@@ -292,13 +284,13 @@ def grouped_links(rows: DataFrame, group: str, carry: Sequence[str], find: Calla
     return components(joined, scratch, f"{name}-across")
 
 
-def candidate_groups(classes: DataFrame, scratch: Scratch, agree: Agree, percent: int, name: str) -> DataFrame:
+def candidate_groups(classes: DataFrame, scratch: Scratch, agree: int, percent: int, name: str, kind: type = np.uint8) -> DataFrame:
     """(node, root): groups of classes (cls, n, sig, keys) that chains of candidate pairs join."""
     each = classes.select("cls", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     rows = scratch.keep(each.join(shared, "key"), f"{name}-buckets")
     rows = rows.join(classes.select("cls", "n", "sig"), "cls")
-    out = grouped_links(rows, "key", ["n", "sig"], _sketch_finder(agree, percent), scratch, f"{name}-groups")
+    out = grouped_links(rows, "key", ["n", "sig"], _sketch_finder(agree, percent, kind), scratch, f"{name}-groups")
     scratch.drop(f"{name}-buckets")
     return out
 
@@ -318,7 +310,7 @@ def _classes(docs: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame
     told = scratch.keep(named.mapInArrow(_describe(tensor_size(percent)), "did long, th long, n long, cls long, cls2 long, keys array<long>, sig binary"), "described")
     told, classes = distinct_classes(told, scratch, "classes", F.min(F.struct("did", "th", "n", "sig", "keys")).alias("r"), F.count(F.lit(1)).alias("times"))
     classes = classes.select("cls", "times", "r.*")
-    groups = candidate_groups(classes, scratch, (agreement(percent), 0, 0, 0), percent, "near")
+    groups = candidate_groups(classes, scratch, agreement(percent), percent, "near")
     wanted = groups.join(classes.select("cls", "did", "th"), groups["node"] == classes["cls"]).select("cls", "root", "did", "th")
     packed = named.mapInArrow(_pack, "did long, th long, z binary, n_bytes long").join(wanted, ["did", "th"]).drop("did", "th")
     packed = scratch.keep(packed, "texts").dropDuplicates(["cls"])  # repeated rows have one text

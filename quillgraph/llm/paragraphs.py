@@ -1,14 +1,17 @@
 """Substring deduplication by paragraphs: MinHash banding, exact Jaccard, components.
 
-Paragraphs are lines.  So that a passage inside a line, or over several, is
-met too, lines are also cut into blocks where their own words say so: at the
-word whose trigram hash is the smallest within REACH words to either side.
-Equal passages have equal blocks, wherever they stand.  Lines and blocks go
-through the same steps: equal shingle sets are one class; banding tuned to the
-similarity finds candidates; full sets decide; links make components.  Next
-to a block that occurs again, the words that follow (or precede) it in two
-places alike are its rim.  What adjoining linked lines, blocks and rims cover
-is a stretch.  The first member of a component, by doc_id and place, stays.
+Paragraphs are lines.  Banding tuned to the similarity finds pairs of lines
+that may reach it, their full shingle sets decide, links make components, and
+each component's first line, by doc_id and place, stays.
+
+So that a passage inside a line, or over several, is met too, lines are cut
+where their own words say so: before the word whose trigram hash is the least
+within REACH words to either side.  Equal passages have equal cuts, wherever
+they stand, and what lies between two cuts is a block, a unit like a line that
+is in a component with those of an equal shingle set (a block another than by
+a word at its rim is below the similarity anyway).  Next to a line or block
+that occurs again, the words that follow (or precede) it in two places alike
+are its rim.  What adjoining linked lines, blocks and rims cover is a stretch.
 """
 
 from __future__ import annotations
@@ -25,15 +28,13 @@ from . import kernels as K
 from .joins import spread_lookup
 from .nearness import candidate_groups, distinct_classes, linked, set_hashes
 from .storage import Scratch
-from .suffixes import _NULL_ID, _unpack
+from .suffixes import _NULL_ID, _pack, _unpack
 
 WORDS, PERCENT, REACH = 5, 80, 9
 #: Words of a stretch from which it is a passage; blocks inside lines are only removed within passages.
 PASSAGE = 50
-#: Bands of units with at least LONG shingles and of those with fewer; a unit near the bound has both kinds.
-LONG, MISS, SHORT_MISS, HASHES, SHORT_HASHES = 20, 0.001, 0.01, 32, 10
-#: Part of the pairs at the threshold that may have too few equal minhash bytes.
-_SIGMAS = 3.6
+#: Most pairs at the threshold, as a part, that no band brings together; most minhash values of a line.
+MISS, HASHES = 0.005, 32
 _END = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -49,25 +50,27 @@ def tuned_bands(similarity: float = PERCENT / 100, miss: float = MISS, hashes: i
 
 def agreement(similarity: float, hashes: int) -> int:
     """Minhash values that pairs at the threshold share, less 3.6 standard deviations."""
-    return int(similarity * hashes - _SIGMAS * np.sqrt(hashes * similarity * (1 - similarity)))
+    return int(similarity * hashes - 3.6 * np.sqrt(hashes * similarity * (1 - similarity)))
 
 
-def band_keys(low: np.ndarray, bands: int, rows: int, kind: int) -> np.ndarray:
-    """Keys of the bands over the first bands * rows minhash values."""
+def band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Keys of the bands over minhash values."""
     keys = np.zeros((len(low), bands), np.uint64)
     for b in range(bands):
-        keys[:, b] = 2 * b + kind + 1
+        keys[:, b] = b + 1
         for k in range(rows):
             keys[:, b] = K.mix(keys[:, b] * np.uint64(31) + low[:, b * rows + k])
     return keys
 
 
 def minima(values: np.ndarray, counts: np.ndarray, hashes: int) -> np.ndarray:
-    """Minhash values of non-empty sets laid out one after the other."""
+    """Minhash values of non-empty sets laid out one after the other, the low 16 bits of each."""
     begin = np.cumsum(counts) - counts
     rng = np.random.default_rng(10)
     seeds = rng.integers(1, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return np.stack([np.minimum.reduceat(K.mix(values * s), begin) for s in seeds], 1) if len(counts) else np.zeros((0, hashes), np.uint64)
+    if not len(counts):
+        return np.zeros((0, hashes), np.uint16)
+    return np.stack([(np.minimum.reduceat(K.mix(values * s), begin) & np.uint64(0xFFFF)).astype(np.uint16) for s in seeds], 1)
 
 
 @dataclass
@@ -77,17 +80,15 @@ class Units:
     row: np.ndarray
     first: np.ndarray  # word
     size: np.ndarray  # words
-    start: np.ndarray  # byte
-    end: np.ndarray
-    line: np.ndarray  # whole line
-    block: np.ndarray  # a line without a cut is both
+    line: np.ndarray  # or else a block
+    starts: np.ndarray  # first words of the parts that lines are cut into
     hashes: np.ndarray  # of all words
     words: tuple[np.ndarray, np.ndarray]  # their starts and ends
     per: np.ndarray  # words of each row
 
 
 def cut(data: np.ndarray, offsets: np.ndarray, reach: int = REACH) -> Units:
-    """Units of every text: lines with a word, and blocks of lines with cuts."""
+    """Units of every text: lines with a word, and their parts between two cuts."""
     low = K.lower_ascii(data)
     s, e, per = K.words(low, offsets)
     h = K.span_hashes(low, s, e)
@@ -95,14 +96,14 @@ def cut(data: np.ndarray, offsets: np.ndarray, reach: int = REACH) -> Units:
     n = len(s)
     if not n:
         z = np.zeros(0, np.int64)
-        return Units(z, z, z, z, z, z > 0, z > 0, h, (s, e), per)
+        return Units(z, z, z, z > 0, z, h, (s, e), per)
     feeds = np.cumsum(low == 10)[s]
     new = np.ones(n, bool)
     new[1:] = (feeds[1:] != feeds[:-1]) | (row[1:] != row[:-1])
     line_no = np.cumsum(new) - 1
     begin = np.flatnonzero(new)
     length = np.diff(np.append(begin, n))
-    grams, per_line, at = K.gram_hashes(h, length, 3)
+    grams, _, at = K.gram_hashes(h, length, 3)
     # lines one after the other, apart by as many end marks as the search reaches
     laid = np.full(n + (len(begin) + 1) * reach, _END)
     place = at + (line_no[at] + 1) * reach
@@ -117,15 +118,12 @@ def cut(data: np.ndarray, offsets: np.ndarray, reach: int = REACH) -> Units:
     cuts[at] = least[place - reach] == grams
     starts = np.flatnonzero(new | cuts)
     sizes = np.diff(np.append(starts, n))
-    whole = sizes == length[line_no[starts]]
-    split = begin[length != sizes[np.searchsorted(starts, begin)]]  # lines with a cut
-    first = np.concatenate([starts, split])
-    size = np.concatenate([sizes, length[line_no[split]]])
-    line = np.concatenate([whole, np.ones(len(split), bool)])
-    block = np.concatenate([np.ones(len(starts), bool), np.zeros(len(split), bool)])
-    order = np.lexsort((-size, first))
-    first, size, line, block = first[order], size[order], line[order], block[order]
-    return Units(row[first], first, size, s[first], e[first + size - 1], line, block, h, (s, e), per)
+    last = np.append(new[starts[1:]], True)  # of its line
+    block = ~new[starts] & ~last
+    first = np.concatenate([begin, starts[block]])
+    order = np.argsort(first, kind="stable")
+    size, line = np.concatenate([length, sizes[block]])[order], (np.arange(len(first)) < len(begin))[order]
+    return Units(row[first[order]], first[order], size, line, starts, h, (s, e), per)
 
 
 def shingles(units: Units) -> tuple[np.ndarray, np.ndarray]:
@@ -136,18 +134,13 @@ def shingles(units: Units) -> tuple[np.ndarray, np.ndarray]:
     return K.distinct_per_row(grams, counts)
 
 
-_TOLD = "rid long, did long, th long, lines long, z binary, n_bytes long, first int, size int, start int, end int, line boolean, n int, cls long, cls2 long, keys array<long>, sig binary"
+_TOLD = "rid long, did long, th long, lines long, first int, size int, start int, end int, line boolean, n int, cls long, cls2 long, sig binary"
 
 
-def _describe(percent: int):
-    """One row for each text, with the text, and one for each unit."""
-    bands, rows = tuned_bands(percent / 100)
-    few_bands, few_rows = tuned_bands(percent / 100, SHORT_MISS, SHORT_HASHES)
-    hashes = max(bands * rows, few_bands * few_rows)
-    both = int(np.ceil(LONG * percent / 100))
+def _describe(hashes: int):
+    """One row for each text, and one for each unit; lines that may be linked without being equal have their minhash values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", 1)
         for batch in batches:
             rid, did, th = (batch.column(c).to_numpy() for c in ("rid", "did", "th"))
             for i, j, data, offsets in K.chunks(*K.buffers(batch.column("text"))):
@@ -155,89 +148,80 @@ def _describe(percent: int):
                 values, n = shingles(u)
                 cls, cls2 = set_hashes(values, n)
                 m, c = j - i, len(n)
-                keyed = n >= 4  # smaller sets reach the similarity only if they are equal, and are one class then
-                low = minima(values[np.repeat(keyed, n)], n[keyed], hashes)
-                nk = n[keyed]
-                long, short = nk >= both, nk < LONG
-                width = np.zeros(c, np.int64)
-                width[keyed] = long * bands + short * few_bands
-                flat = np.zeros(int(width.sum()), np.uint64)
-                at = np.cumsum(width[keyed]) - width[keyed]
-                flat[(at[long][:, None] + np.arange(bands)).ravel()] = band_keys(low[long], bands, rows, 0).ravel()
-                flat[((at + long * bands)[short][:, None] + np.arange(few_bands)).ravel()] = band_keys(low[short], few_bands, few_rows, 1).ravel()
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(m + 1), np.cumsum(width)]).astype(np.int32)), pa.array(flat.view(np.int64)))
-                bytes_ = (low & np.uint64(255)).astype(np.uint8)
-                bytes_[nk < both, few_bands * few_rows :] = 0
+                keyed = u.line & (n >= 4)  # smaller sets reach the similarity only if they are equal
                 sig = np.full(c, None, object)
-                sig[keyed] = [x.tobytes() for x in bytes_]
-                packed = [codec.compress(data[a:b].tobytes(), asbytes=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                sig[keyed] = [x.tobytes() for x in minima(values[np.repeat(keyed, n)], n[keyed], hashes)]
                 row = np.concatenate([np.arange(m), u.row])
-                unit = np.arange(m + c) < m
-                text = lambda x, kind: pa.array(np.concatenate([np.zeros(m, np.int64), x]).astype(kind), mask=unit)  # noqa: B023, E731
-                wide = lambda x: pa.array(np.concatenate([np.zeros(m, np.int64), x]), mask=unit)  # noqa: B023, E731
-                lines = np.bincount(u.row[u.line], minlength=m)
+                text = np.arange(m + c) < m
+                of_unit = lambda x, kind: pa.array(np.concatenate([np.zeros(m, kind), x.astype(kind)]), mask=text)  # noqa: B023, E731
+                s, e = u.words
+                lines = np.concatenate([np.bincount(u.row[u.line], minlength=m), np.zeros(c, np.int64)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x[i:j][row]) for x in (rid, did, th)]
-                    + [pa.array(np.concatenate([lines, np.zeros(c, np.int64)]), mask=~unit), pa.array(packed + [None] * c, pa.binary()), pa.array(np.concatenate([np.diff(offsets), np.zeros(c, np.int64)]), mask=~unit)]
-                    + [text(u.first - (np.cumsum(u.per) - u.per)[u.row], np.int32), text(u.size, np.int32), text(u.start - offsets[u.row], np.int32), text(u.end - offsets[u.row], np.int32)]
-                    + [pa.array(np.concatenate([np.zeros(m, bool), u.line]), mask=unit), text(n, np.int32), wide(cls), wide(cls2), lists, pa.array([None] * m + sig.tolist(), pa.binary())],
+                    + [pa.array(lines, mask=~text), of_unit(u.first - (np.cumsum(u.per) - u.per)[u.row], np.int32), of_unit(u.size, np.int32)]
+                    + [of_unit(s[u.first] - offsets[u.row], np.int32), of_unit(e[u.first + u.size - 1] - offsets[u.row], np.int32)]
+                    + [of_unit(u.line, bool), of_unit(n, np.int32), of_unit(cls, np.int64), of_unit(cls2, np.int64), pa.array([None] * m + sig.tolist(), pa.binary())],
                     _names(_TOLD),
                 )
 
     return run
 
 
-def _names(schema: str) -> list[str]:
-    return [part.split()[0] for part in schema.split(", ")]
+def _with_keys(bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                low = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+                keys = band_keys(low.astype(np.uint64), bands, rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cls", "n", "sig")), lists], ["cls", "n", "sig", "keys"])
 
+    return run
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed texts of the units in a text's list."""
-    codec = pa.Codec("zstd", 1)
-    for batch in batches:
-        for z, n, parts in zip(batch.column("z").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-            text = _unpack(codec, z, n)
-            out = [text[p["start"] : p["end"]] for p in parts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p["cls"] for p in parts], pa.int64()), pa.array([p["root"] for p in parts], pa.int64()), pa.array([codec.compress(c, asbytes=True) for c in out], pa.binary()), pa.array([len(c) for c in out], pa.int64())],
-                ["cls", "root", "z", "n_bytes"],
-            )
+
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
 
 
-_RIM = "rid long, cls long, side int, open boolean, gone boolean, root long, ctx binary, first int, size int, start int, end int, ends array<int>"
+_CONTEXT = "cls long, side int, open boolean, ctx binary, rid long, first int, size int, start int, end int, ends array<int>"
+_CUT = "root long, z binary, n_bytes long"
 
 
-def _rims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For both neighbours of every repeated block: word hashes, from the border on; and where the words of one that isn't linked (open) end (or start)."""
+def _from_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every listed text the packed lines that are candidates, and the rims of the units that occur again: of the parts beside them word hashes
+    from the border on, and where the words of one that isn't covered itself (open) end (or start)."""
     codec = pa.Codec("zstd", 1)
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.int64()]
     for batch in batches:
         out: list[tuple] = []
         for rid, z, n, units in zip(*(batch.column(c).to_pylist() for c in ("rid", "z", "n_bytes", "units")), strict=True):
-            data = np.frombuffer(_unpack(codec, z, n), np.uint8)
-            u = cut(data, np.array([0, len(data)]))
+            text = _unpack(codec, z, n)
+            again = [x for x in units if x["root"] is None]
+            for x in units:
+                if x["root"] is not None:
+                    piece = text[x["start"] : x["end"]]
+                    out.append((x["cls"], *[None] * 9, x["root"], codec.compress(piece, asbytes=True), len(piece)))
+            if not again:
+                continue
+            u = cut(np.frombuffer(text, np.uint8), np.array([0, n]))
             s, e = u.words
-            first, size = u.first[u.block], u.size[u.block]
+            border = np.append(u.starts, len(s))
             covered = np.zeros(len(s) + 1, np.int64)
-            for x in units:
+            for x in again:
                 covered[x["first"]] += 1
                 covered[x["first"] + x["size"]] -= 1
             covered = np.cumsum(covered) > 0
-            for x in units:
-                if not x["again"]:
-                    continue
-                k = int(np.searchsorted(first, x["first"]))
-                if k == len(first) or first[k] != x["first"] or size[k] != x["size"]:
-                    continue  # a line with cuts: its blocks have their own rims
-                for side, b in ((1, k + 1), (-1, k - 1)):
-                    if not 0 <= b < len(first):
+            for x in again:
+                k = int(np.searchsorted(u.starts, x["first"]))
+                for side, b in ((1, int(np.searchsorted(u.starts, x["first"] + x["size"]))), (-1, k - 1)):
+                    if not 0 <= b < len(u.starts):
                         continue
-                    a, w, told = int(first[b]), int(size[b]), not covered[first[b]]
-                    words = u.hashes[a : a + w][::side]
+                    a, w = int(border[b]), int(border[b + 1] - border[b])
+                    told = not covered[a]
                     ends = (e[a : a + w] if side == 1 else s[a : a + w][::-1]).tolist() if told else None
-                    out.append((rid, x["cls"], side, told, x["gone"], x["root"], words.tobytes(), a, w, int(s[a]), int(e[a + w - 1]), ends))
+                    out.append((x["cls"], side, told, u.hashes[a : a + w][::side].tobytes(), rid, a, w, int(s[a]), int(e[a + w - 1]), ends, None, None, None))
         if out:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], _names(_RIM))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], _names(f"{_CONTEXT}, {_CUT}"))
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +263,11 @@ def _judge(passage: int):
         for batch in batches:
             out: list[tuple] = []
             for rid, parts in zip(batch.column("rid").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                at = {(p["first"], p["cls"]): p for p in parts if not p["to"]} | {(p["first"] + p["size"], p["cls"], "end"): p for p in parts if not p["to"]}
+                for p in parts:
+                    if p["to"]:
+                        own = at[(p["first"], p["cls"], "end")] if p["to"] < 0 else at[(p["first"] + p["size"], p["cls"])]
+                        p["root"], p["gone"] = own["root"], own["gone"]
                 parts.sort(key=lambda p: (p["first"], -p["size"]))
                 stretches: list[list] = []
                 for p in parts:
@@ -322,7 +311,8 @@ def find_repeats(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, pass
     one another in one span): lines that aren't their component's first, and
     within passages also blocks and rims.
     components names those that its lines, and in passages its blocks, are in.
-    Every line is compared, whatever its length.
+    Every line is compared, whatever its length; a rim ends with the part of a
+    line that it lies in.
 
     A null or empty text has no paragraphs; a repeated row is a document of its
     own, so all but one of several equal rows lose their lines; an empty table
@@ -330,46 +320,71 @@ def find_repeats(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, pass
     """
     text = F.coalesce("text", F.lit(""))
     named = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("doc_id", F.lit(_NULL_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
-    told = scratch.keep(named.mapInArrow(_describe(percent), _TOLD), "told")  # names the rows: it is never computed again
-    texts = told.filter("cls is null").select("rid", "z", "n_bytes")
-    place = F.struct("did", "first", "th", "rid", "size", "start", "end")
-    units, classes = distinct_classes(
-        told.filter("cls is not null"), scratch, "classes", F.count(F.lit(1)).alias("times"), F.min(place).alias("head"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")
-    )
     bands, rows = tuned_bands(percent / 100)
-    few = int(np.prod(tuned_bands(percent / 100, SHORT_MISS, SHORT_HASHES)))
-    agree = (agreement(percent / 100, bands * rows), agreement(percent / 100, few), int(np.ceil(LONG * percent / 100)), few)
-    groups = candidate_groups(classes.filter("n >= 4"), scratch, agree, percent, "paragraph")
-    wanted = groups.join(classes.select("cls", "head"), F.col("node") == F.col("cls"))
-    lists = wanted.groupBy(F.col("head.rid").alias("rid")).agg(F.collect_list(F.struct("cls", "root", F.col("head.start").alias("start"), F.col("head.end").alias("end"))).alias("parts"))  # the units of one text
-    cut_out = texts.join(lists, "rid").select("z", "n_bytes", "parts").mapInArrow(_cut_out, "cls long, root long, z binary, n_bytes long")
-    found = linked(scratch.keep(cut_out, "cut"), scratch, percent, "paragraph")
-    rooted = classes.select("cls", "times", "head").join(found, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
-    heads = rooted.groupBy("root").agg(F.sum("times").alias("all"), F.min("head").alias("h")).filter("all > 1")
-    heads = rooted.select("cls", "times", "root").join(heads, "root").select("cls", "times", "root", F.col("h.rid").alias("head_rid"), F.col("h.first").alias("head_first"), (F.col("times") > 1).alias("again"))
-    heads = scratch.keep(heads, "heads")
-    scratch.drop("cut")
-    plain = units.select("rid", "first", "size", "start", "end", "line", "cls")
-    judged = spread_lookup(plain, heads, "cls", "times", plain.count()).filter("root is not null")
+    told = scratch.keep(named.mapInArrow(_describe(bands * rows), _TOLD), "told")  # names the rows: it is never computed again
+    units = told.filter("cls is not null").select("rid", "did", "first", "size", "start", "end", "line", "n", "cls", "cls2", "sig")
+    place = F.struct("did", "first", "rid")
+
+    # units that occur again
+    units, counted = distinct_classes(units, scratch, "counted", F.count(F.lit(1)).alias("times"), only="times > 1")
+    slim = units.select("rid", "did", "first", "size", "start", "end", "line", "cls")
+    again = scratch.keep(spread_lookup(slim, counted.withColumn("again", F.lit(True)), "cls", "times", slim.count()).filter("again").drop("again"), "again")
+
+    # lines: distinct sets, and candidates by bands
+    place = F.struct("did", "first", "rid")
+    lines = units.filter("sig is not null").groupBy("cls").agg(F.min(place).alias("head"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    lines = scratch.keep(lines, "lines")
+    keyed = lines.select("cls", "n", "sig").mapInArrow(_with_keys(bands, rows), "cls long, n int, sig binary, keys array<long>")
+    groups = scratch.keep(candidate_groups(keyed, scratch, agreement(percent / 100, bands * rows), percent, "paragraph", np.uint16), "groups")
+
+    # one pass over the texts for both
+    heads = groups.join(lines.select("cls", "head"), F.col("node") == F.col("cls")).select("cls", "root", F.col("head.rid").alias("rid"), F.col("head.first").alias("first"))
+    spots = slim.filter("line").join(heads, ["rid", "first", "cls"]).select("rid", "cls", "first", "size", "start", "end", "root")
+    listed = again.select("rid", "cls", "first", "size", "start", "end", F.lit(None).cast("long").alias("root")).unionByName(spots)
+    per_text = listed.groupBy("rid").agg(F.collect_list(F.struct("cls", "first", "size", "start", "end", "root")).alias("units"))  # of one text
+    ids = told.filter("cls is null").select("rid", "did", "th")
+    packed = named.select("did", "th", "text").mapInArrow(_pack, "did long, th long, z binary, n_bytes long")
+    if not ids.groupBy("did", "th").count().filter("count > 1").isEmpty():
+        packed = packed.dropDuplicates(["did", "th"])  # repeated rows have one text
+    pieces = packed.join(per_text.join(ids, "rid"), ["did", "th"]).select("rid", "z", "n_bytes", "units")
+    pieces = scratch.keep(pieces.mapInArrow(_from_texts, f"{_CONTEXT}, {_CUT}"), "pieces")
+
+    # components of lines, and the first of every component
+    found = linked(pieces.filter("root is not null").select("cls", "root", "z", "n_bytes"), scratch, percent, "paragraph")
+    near = found.join(lines.select("cls", "head"), F.col("node") == F.col("cls")).select("cls", "root", "head")
+    alike = again.groupBy("cls").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("head"))
+    named_by = near.join(alike.withColumnsRenamed({"head": "first_alike"}), "cls", "full")
+    named_by = named_by.select("cls", F.coalesce("root", "cls").alias("root"), F.coalesce("times", F.lit(1)).cast("long").alias("times"), F.least("head", "first_alike").alias("head"))
+    named_by = scratch.keep(named_by, "named")
+    firsts = named_by.groupBy("root").agg(F.min("head").alias("h")).select("root", F.col("h.rid").alias("head_rid"), F.col("h.first").alias("head_first"))
+    classes = scratch.keep(named_by.select("cls", "times", "root").join(firsts, "root"), "classes")
+    scratch.drop("named", "groups", "lines")
+
+    # linked units, and rims
+    lone = slim.filter("line").join(classes.filter("times = 1"), "cls").drop("times")
+    members = spread_lookup(again, classes.filter("times > 1"), "cls", "times", again.count()).unionByName(lone)
     gone = (F.col("head_rid") != F.col("rid")) | (F.col("head_first") != F.col("first"))
-    judged = scratch.keep(judged.withColumn("gone", gone).drop("head_rid", "head_first"), "judged")
-    scratch.drop("heads")
-
-    per_text = judged.groupBy("rid").agg(F.collect_list(F.struct("first", "size", "cls", "root", "again", "gone")).alias("units"))  # of one text
-    rims = scratch.keep(texts.join(per_text, "rid").select("rid", "z", "n_bytes", "units").mapInArrow(_rims, _RIM), "rims")
-    contexts = rims.groupBy("cls", "side", "ctx").agg(F.count(F.lit(1)).alias("times"), F.max("open").alias("open"))
+    contexts = pieces.filter("ctx is not null")
+    beside = contexts.groupBy("cls", "side", "ctx").agg(F.count(F.lit(1)).alias("times"), F.max("open").alias("open"))
     word = F.substring("ctx", 1, 8)  # contexts that share any word share their first
-    dealt = contexts.repartition("cls", "side", word).sortWithinPartitions("cls", "side", "ctx")
+    dealt = beside.repartition("cls", "side", word).sortWithinPartitions("cls", "side", "ctx")
     common = dealt.mapInArrow(_common, "cls long, side int, ctx binary, k int")
-    met = rims.filter("open").join(common, ["cls", "side", "ctx"])
     right = F.col("side") == 1
     upto = F.element_at("ends", F.col("k"))
-    rim_units = met.select(
+    rims = contexts.filter("open").join(common, ["cls", "side", "ctx"]).select(
         "rid", F.when(right, F.col("first")).otherwise(F.col("first") + F.col("size") - F.col("k")).alias("first"), F.col("k").alias("size"),
-        F.when(right, F.col("start")).otherwise(upto).alias("start"), F.when(right, upto).otherwise(F.col("end")).alias("end"), F.lit(False).alias("line"), "gone", "root",
+        F.when(right, F.col("start")).otherwise(upto).alias("start"), F.when(right, upto).otherwise(F.col("end")).alias("end"), F.lit(False).alias("line"), "cls",
+        F.when(right, -1).otherwise(1).alias("to"),
     )
-    parts = judged.select("rid", "first", "size", "start", "end", "line", "gone", "root").unionByName(rim_units)
-    per = parts.groupBy("rid").agg(F.collect_list(F.struct("first", "size", "start", "end", "line", "gone", "root")).alias("parts"))  # of one text
+    return _result(told, members.withColumn("gone", gone), rims, passage)
+
+
+def _result(told: DataFrame, members: DataFrame, rims: DataFrame, passage: int) -> DataFrame:
+    """Columns of find_repeats from linked units and rims; a rim goes with the unit that it adjoins."""
+    unit = ["rid", "first", "size", "start", "end", "line", "cls"]
+    none = F.lit(None)
+    parts = members.select(*unit, "root", "gone", F.lit(0).alias("to")).unionByName(rims.select(*unit, none.cast("long").alias("root"), none.cast("boolean").alias("gone"), "to"))
+    per = parts.groupBy("rid").agg(F.collect_list(F.struct("first", "size", "start", "end", "line", "cls", "root", "gone", "to")).alias("parts"))  # of one text
     done = per.mapInArrow(_judge(passage), _RESULT)
     out = told.filter("cls is null").select("rid", "did", "lines").join(done, "rid", "left")
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)

@@ -171,56 +171,53 @@ def test_op9_rules_and_verdicts(spark):
         assert (r.rule, r.verdict) == max(fits)[1:] if fits else pd.isna(r.rule)
 
 
-def units_of(text: str) -> tuple[list[str], list[tuple[int, int, bool, bool]]]:
-    """Words, and (first, size, whole line, block) of every line and block, cut where a word's trigram hash is the least within reach on its line."""
+def units_of(text: str) -> tuple[list[str], list[tuple[int, int, bool]], list[int]]:
+    """Words, (first, size, whole line) of every line and block, and where the parts of lines begin; a cut is where a word's trigram hash is the least within reach on its line."""
     all_words: list[str] = []
-    units = []
+    units, parts = [], []
     for line in text.translate(LOWER).split("\n"):
         w = WORD.findall(line)
         if not w:
             continue
         h = paragraphs.cut(*K.buffers(pa.array([line]))).hashes
         grams = K.gram_hashes(h, np.array([len(w)]), 3)[0].tolist()
-        cuts = [0] + [i for i in range(1, len(grams)) if grams[i] == min(grams[max(0, i - paragraphs.REACH) : i + paragraphs.REACH + 1])]
+        cuts = [i for i in range(1, len(grams)) if grams[i] == min(grams[max(0, i - paragraphs.REACH) : i + paragraphs.REACH + 1])]
         at = len(all_words)
-        blocks = list(zip(cuts, [*cuts[1:], len(w)], strict=True))
-        units += [(at + a, b - a, len(blocks) == 1, True) for a, b in blocks]
-        if len(blocks) > 1:
-            units.append((at, len(w), True, False))
+        units += [(at, len(w), True), *((at + a, b - a, False) for a, b in zip(cuts, cuts[1:]))]
+        parts += [at, *(at + c for c in cuts)]
         all_words += w
-    return all_words, units
+    return all_words, units, parts
 
 
 def test_op10_equals_brute_force(spark, docs):
-    """Lines and blocks by all pairs, rims by all pairs of equal blocks, stretches word by word."""
+    """Lines by all pairs, blocks by equality, rims by all pairs of what is beside equal units, stretches word by word."""
     every = []
-    words = {}
+    words, parts = {}, {}
     for d, t in sorted(zip(docs.doc_id, docs.text, strict=True)):
-        words[d], units = units_of(t)
-        every += [(d, a, n, line, block, frozenset(shingles(" ".join(words[d][a : a + n])))) for a, n, line, block in sorted(units)]
-    roots = linked([u[5] for u in every], 80)
-    size, head, same = collections.Counter(), {}, collections.Counter(u[5] for u in every)
+        words[d], units, parts[d] = units_of(t)
+        every += [(d, a, n, line, frozenset(shingles(" ".join(words[d][a : a + n])))) for a, n, line in sorted(units)]
+    roots = linked([u[4] if u[3] else set() for u in every], 80)
+    same, of_set = collections.Counter(u[4] for u in every), {}
+    for i, u in enumerate(every):
+        roots.link(of_set.setdefault(u[4], i), i)
+    size, head = collections.Counter(), {}
     for i, u in enumerate(every):
         size[roots.find(i)] += 1
         head[roots.find(i)] = min(head.get(roots.find(i), u[:2]), u[:2])
     joined = [size[roots.find(i)] > 1 for i in range(len(every))]
-    cover = {d: np.zeros(len(w), bool) for d, w in words.items()}
-    for i, u in enumerate(every):
-        if joined[i]:
-            cover[u[0]][u[1] : u[1] + u[2]] = True
-    blocks = collections.defaultdict(list)
+    cover, again = ({d: np.zeros(len(w), bool) for d, w in words.items()} for _ in range(2))
     for i, u in enumerate(every):
-        if u[4]:
-            blocks[u[0]].append(i)
+        cover[u[0]][u[1] : u[1] + u[2]] |= joined[i]
+        again[u[0]][u[1] : u[1] + u[2]] |= same[u[4]] > 1
     rims = collections.defaultdict(list)
-    for d, own in blocks.items():
-        for k, i in enumerate(own):
-            for side in (1, -1):
-                if same[every[i][5]] > 1 and 0 <= k + side < len(own):
-                    v = every[own[k + side]]
-                    rims[(every[i][5], side)].append((tuple(words[d][v[1] : v[1] + v[2]][::side]), d, v[1], v[2], None if cover[d][v[1]] else i))
+    for i, (d, a, n, _, shingle_set) in enumerate(every):
+        for side in (1, -1):
+            k = parts[d].index(a) - 1 if side < 0 else ([*parts[d], len(words[d])]).index(a + n)
+            if same[shingle_set] > 1 and 0 <= k < len(parts[d]):
+                x, y = parts[d][k], [*parts[d], len(words[d])][k + 1]
+                rims[(shingle_set, side)].append((tuple(words[d][x:y][::side]), d, x, y - x, None if again[d][x] else i))
     got = {r.doc_id: r for r in run(spark, "op10_paragraph_dedup").itertuples()}
-    gone = {d: [(u[1], u[2], u[3]) for i, u in enumerate(every) if u[0] == d and joined[i] and head[roots.find(i)] != u[:2]] for d in words}
+    gone = {d: [u[1:4] for i, u in enumerate(every) if u[0] == d and joined[i] and head[roots.find(i)] != u[:2]] for d in words}
     for (_, side), contexts in rims.items():
         for x, d, a, n, i in contexts:
             if i is None:
