@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +32,27 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+#: Edges of a graph that one task joins by itself; larger ones go by rounds.
+ONE_TASK = 1 << 16
+
+
+def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if parts:
+        a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = forest(len(nodes), at[: len(a)], at[len(a) :])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, root) of every node of edges (a, b), longs: root is the component's smallest node.
 
     Alternates large and small stars, each a minimum by node and a lookup of
     it, until nothing changes.  The minima are combined before the shuffle and
     a hot node's edges are looked up in a broadcast, so no task gets a whole
-    component.  Every round is written to the shared folder.
+    component.  Every round is written to the shared folder.  A graph of at
+    most ONE_TASK edges, counted first, is joined by one task instead.
     """
 
     def told(df: DataFrame) -> tuple:
@@ -47,6 +64,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     now = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     before, k = told(now), 0
+    if before[0] <= ONE_TASK:
+        return scratch.keep(now.coalesce(1).mapInArrow(_join_all, "node long, root long"), f"{name}-joined")
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = with_least(both, 2 * before[0]).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()

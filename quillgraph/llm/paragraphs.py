@@ -10,8 +10,8 @@ within REACH words to either side.  Equal passages have equal cuts, wherever
 they stand, and what lies between two cuts is a block, a unit like a line that
 is in a component with those of an equal shingle set (a block another than by
 a word at its rim is below the similarity anyway).  Next to a line or block
-that occurs again, the words that follow (or precede) it in two places alike
-are its rim.  What adjoining linked lines, blocks and rims cover is a stretch.
+that occurs again, the words that follow (or precede) it in two places alike,
+are its rim, as far as they aren't in such a unit themselves.  What adjoining linked lines, blocks and rims cover is a stretch.
 """
 
 from __future__ import annotations
@@ -187,39 +187,46 @@ _CONTEXT = "cls long, side int, open boolean, ctx binary, rid long, first int, s
 _CUT = "root long, z binary, n_bytes long"
 
 
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Offsets of a list column, and the fields of its structs one list after the other."""
+    values = column.flatten()
+    offsets = column.offsets.to_numpy()
+    return offsets - offsets[0], {f.name: values.field(k) for k, f in enumerate(values.type)}
+
+
 def _from_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every listed text the packed lines that are candidates, and the rims of the units that occur again: of the parts beside them word hashes
-    from the border on, and where the words of one that isn't covered itself (open) end (or start)."""
+    """Of every listed text the packed lines that are candidates, and for units that occur again the parts beside them: word hashes from the border
+    on; for parts that no such unit covers (open) also where the words end (or start).  Others are only told where they are the last that is
+    covered: copies end there, and one whose cut is elsewhere has its like there."""
     codec = pa.Codec("zstd", 1)
     kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.int64()]
     for batch in batches:
         out: list[tuple] = []
-        for rid, z, n, units in zip(*(batch.column(c).to_pylist() for c in ("rid", "z", "n_bytes", "units")), strict=True):
+        offsets, of = _flat(batch.column("units"))
+        candidate = of["root"].is_valid().to_numpy(zero_copy_only=False)
+        first, size, start, end, cls = (of[c].to_numpy() for c in ("first", "size", "start", "end", "cls"))
+        root = of["root"].fill_null(0).to_numpy()
+        for r, (rid, z, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("rid", "z", "n_bytes")), strict=True)):
+            own = np.arange(offsets[r], offsets[r + 1])
             text = _unpack(codec, z, n)
-            again = [x for x in units if x["root"] is None]
-            for x in units:
-                if x["root"] is not None:
-                    piece = text[x["start"] : x["end"]]
-                    out.append((x["cls"], *[None] * 9, x["root"], codec.compress(piece, asbytes=True), len(piece)))
-            if not again:
+            for x in own[candidate[own]].tolist():
+                piece = text[start[x] : end[x]]
+                out.append((cls[x], *[None] * 9, root[x], codec.compress(piece, asbytes=True), len(piece)))
+            own = own[~candidate[own]]
+            if not len(own):
                 continue
             u = cut(np.frombuffer(text, np.uint8), np.array([0, n]))
             s, e = u.words
             border = np.append(u.starts, len(s))
-            covered = np.zeros(len(s) + 1, np.int64)
-            for x in again:
-                covered[x["first"]] += 1
-                covered[x["first"] + x["size"]] -= 1
-            covered = np.cumsum(covered) > 0
-            for x in again:
-                k = int(np.searchsorted(u.starts, x["first"]))
-                for side, b in ((1, int(np.searchsorted(u.starts, x["first"] + x["size"]))), (-1, k - 1)):
-                    if not 0 <= b < len(u.starts):
-                        continue
-                    a, w = int(border[b]), int(border[b + 1] - border[b])
-                    told = not covered[a]
-                    ends = (e[a : a + w] if side == 1 else s[a : a + w][::-1]).tolist() if told else None
-                    out.append((x["cls"], side, told, u.hashes[a : a + w][::side].tobytes(), rid, a, w, int(s[a]), int(e[a + w - 1]), ends, None, None, None))
+            steps = np.bincount(first[own], minlength=len(s) + 1) - np.bincount(first[own] + size[own], minlength=len(s) + 1)
+            covered = np.concatenate([[False], np.cumsum(steps)[u.starts] > 0, [False]])  # part by part, from 1 on
+            for side, part in ((1, np.searchsorted(u.starts, first[own] + size[own])), (-1, np.searchsorted(u.starts, first[own]) - 1)):
+                there = (part >= 0) & (part < len(u.starts))
+                there[there] &= ~(covered[part[there] + 1] & covered[part[there] + 1 + side])
+                for x, b in zip(own[there].tolist(), part[there].tolist(), strict=True):
+                    a, w, free = int(border[b]), int(border[b + 1] - border[b]), not covered[b + 1]
+                    ends = (e[a : a + w] if side == 1 else s[a : a + w][::-1]) if free else None
+                    out.append((cls[x], side, free, u.hashes[a : a + w][::side].tobytes(), rid, a, w, int(s[a]), int(e[a + w - 1]), ends, None, None, None))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], _names(f"{_CONTEXT}, {_CUT}"))
 
@@ -234,14 +241,14 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return int(differ[0]) if len(differ) else n
 
     def told(rows: list[list]) -> pa.RecordBatch:
-        some = [r[:4] for r in rows if r[4] and r[3]]
+        some = [r for r in rows if r[3] and r[4]]
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in some], k) for c, k in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.int32()))], ["cls", "side", "ctx", "k"])
 
     held: list | None = None
     for batch in batches:
         out: list[list] = []
-        for cls, side, ctx, times, wanted in zip(*(batch.column(c).to_pylist() for c in ("cls", "side", "ctx", "times", "open")), strict=True):
-            now = [cls, side, ctx, len(ctx) // 8 if times > 1 else 0, wanted]
+        for cls, side, ctx, times, free in zip(*(batch.column(c).to_pylist() for c in ("cls", "side", "ctx", "times", "open")), strict=True):
+            now = [cls, side, ctx, len(ctx) // 8 if times > 1 else 0, free]
             if held is not None:
                 if held[:2] == now[:2]:
                     k = shared(held[2], ctx)
@@ -261,42 +268,55 @@ def _judge(passage: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for rid, parts in zip(batch.column("rid").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-                at = {(p["first"], p["cls"]): p for p in parts if not p["to"]} | {(p["first"] + p["size"], p["cls"], "end"): p for p in parts if not p["to"]}
-                for p in parts:
-                    if p["to"]:
-                        own = at[(p["first"], p["cls"], "end")] if p["to"] < 0 else at[(p["first"] + p["size"], p["cls"])]
-                        p["root"], p["gone"] = own["root"], own["gone"]
-                parts.sort(key=lambda p: (p["first"], -p["size"]))
-                stretches: list[list] = []
-                for p in parts:
-                    if stretches and p["first"] <= stretches[-1][1]:
-                        stretches[-1][1] = max(stretches[-1][1], p["first"] + p["size"])
-                        stretches[-1][2].append(p)
-                    else:
-                        stretches.append([p["first"], p["first"] + p["size"], [p]])
-                lost: list[dict] = []
-                roots: set[int] = set()
-                for a, b, members in stretches:
-                    for p in members:
-                        if p["line"] or b - a >= passage:
-                            roots.add(p["root"])
-                            if p["gone"]:
-                                lost.append(p)
-                gone: list[list[int]] = []
-                until = -1
-                for p in lost:  # in the order of their first words; what adjoins is one span
-                    if gone and p["first"] <= until:
-                        gone[-1][1] = max(gone[-1][1], p["end"])
-                    else:
-                        gone.append([p["start"], p["end"]])
-                    until = max(until, p["first"] + p["size"])
-                sizes = [b - a for a, b, _ in stretches]
-                out.append((rid, sum(p["line"] for p in parts), sum(x >= passage for x in sizes), max(sizes), len(gone), sum(b - a for a, b in gone), gone, sorted(roots)))
-            if out:
-                kinds = [pa.int64()] * 6 + [pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], _names(_RESULT))
+            m = batch.num_rows
+            offsets, of = _flat(batch.column("parts"))
+            if not offsets[-1]:
+                continue
+            doc = np.repeat(np.arange(m), np.diff(offsets))
+            first, size, start, end, cls, to = (of[c].to_numpy().astype(np.int64) for c in ("first", "size", "start", "end", "cls", "to"))
+            line, gone = (of[c].fill_null(False).to_numpy(zero_copy_only=False) for c in ("line", "gone"))
+            root = of["root"].fill_null(0).to_numpy().copy()
+            rims = np.flatnonzero(to)
+            if len(rims):  # each goes with the unit that it adjoins
+                has = np.isin(doc, doc[rims]) & (to == 0)
+                begin: dict[tuple, int] = {}
+                finish: dict[tuple, int] = {}
+                for i in np.flatnonzero(has).tolist():
+                    begin[doc[i], first[i], cls[i]] = i
+                    finish[doc[i], first[i] + size[i], cls[i]] = i
+                gone = gone.copy()
+                for i in rims.tolist():
+                    x = finish[doc[i], first[i], cls[i]] if to[i] < 0 else begin[doc[i], first[i] + size[i], cls[i]]
+                    root[i], gone[i] = root[x], gone[x]
+            order = np.lexsort((-size, first, doc))
+            doc, first, size, start, end, line, gone, root = (x[order] for x in (doc, first, size, start, end, line, gone, root))
+
+            def runs(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                """Groups of adjoining or overlapping parts: where each begins among those kept, its words, and the group of each part."""
+                at = (doc[keep] << 32) + first[keep]  # noqa: B023
+                until = np.maximum.accumulate(at + size[keep])  # noqa: B023
+                new = np.ones(len(at), bool)
+                new[1:] = at[1:] > until[:-1]
+                where = np.flatnonzero(new)
+                return where, until[np.append(where[1:], len(at)) - 1] - at[where], np.cumsum(new) - 1
+
+            where, words, group = runs(np.arange(len(doc)))
+            counted = line | (words[group] >= passage)
+            own = doc[where]
+            longest = np.zeros(m, np.int64)
+            np.maximum.at(longest, own, words)
+            lost = np.flatnonzero(counted & gone)
+            spans, _, _ = runs(lost) if len(lost) else (np.zeros(0, np.int64),) * 3
+            from_, until = start[lost[spans]], np.maximum.reduceat(end[lost], spans) if len(lost) else np.zeros(0, np.int64)
+            n_removed = np.bincount(doc[lost[spans]], minlength=m)
+            pairs = pa.ListArray.from_arrays(pa.array(np.arange(len(spans) + 1, dtype=np.int32) * 2), pa.array(np.stack([from_, until], 1).ravel().astype(np.int32)))
+            names = np.unique(np.stack([doc[counted], root[counted]], 1), axis=0)
+            upto = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]).astype(np.int32))
+            numbers = [np.bincount(doc[line], minlength=m), np.bincount(own[words >= passage], minlength=m), longest, n_removed, np.bincount(doc[lost[spans]], until - from_, m).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rid"), *map(pa.array, numbers), pa.ListArray.from_arrays(upto(n_removed), pairs), pa.ListArray.from_arrays(upto(np.bincount(names[:, 0], minlength=m)), pa.array(names[:, 1]))],
+                _names(_RESULT),
+            )
 
     return run
 

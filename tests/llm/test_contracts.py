@@ -214,6 +214,8 @@ def test_op10_equals_brute_force(spark, docs):
         for side in (1, -1):
             k = parts[d].index(a) - 1 if side < 0 else ([*parts[d], len(words[d])]).index(a + n)
             if same[shingle_set] > 1 and 0 <= k < len(parts[d]):
+                if again[d][parts[d][k]] and 0 <= k + side < len(parts[d]) and again[d][parts[d][k + side]]:
+                    continue
                 x, y = parts[d][k], [*parts[d], len(words[d])][k + 1]
                 rims[(shingle_set, side)].append((tuple(words[d][x:y][::side]), d, x, y - x, None if again[d][x] else i))
     got = {r.doc_id: r for r in run(spark, "op10_paragraph_dedup").itertuples()}
