@@ -2,7 +2,8 @@
 
 Test items come in blocks of bounded size.  A text and an item that share any
 n-gram are a candidate, whatever the size of the corpus and however often the
-item leaked.  Only parts of the text that are dense enough in the item's words
+item leaked; an item shorter than the n-gram is looked up as a whole at every
+place.  Only parts of the text that are dense enough in the item's words
 to hold an alignment at the threshold are aligned with it, word by word, so
 edited copies are scored too and nothing that could score is passed over.
 """
@@ -107,8 +108,25 @@ def _regions(words: np.ndarray, times: np.ndarray, length: int, threshold: float
     return [(int(g[0]), int(g[-1]) + span) for g in np.split(dense, cuts)]
 
 
+def text_grams(h: np.ndarray, per: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every gram of SEED words, of texts shorter than that, and of the given smaller sizes."""
+    grams, each, _ = K.gram_hashes(h.view(np.uint64), per, SEED, whole_short=True)
+    rows, out = [np.repeat(np.arange(len(per)), each)], [grams]
+    for n in sizes:
+        grams, each, _ = K.gram_hashes(h.view(np.uint64), per, n)
+        rows.append(np.repeat(np.arange(len(per)), each))
+        out.append(grams)
+    row, gram = np.concatenate(rows), np.concatenate(out)
+    order = np.argsort(row, kind="stable") if sizes else slice(None)
+    return row[order], gram[order]
+
+
 def _scan(docs: DataFrame, items: Items, threshold: float, drop: bool = False) -> DataFrame:
-    """The leaks of a block of items, or with drop the rows of docs without any."""
+    """The leaks of a block of items, or with drop the rows of docs without any.
+
+    With drop an item of fewer words than a seed only counts where it is all of a text's words: it occurs in ordinary prose.
+    """
+    small = [] if drop else sorted({int(c) for c in items.counts if 0 < c < SEED})
     vocabulary, spelt = np.unique(items.words, return_inverse=True)
     shipped = docs.sparkSession.sparkContext.broadcast((items, vocabulary, spelt, *items.seeds()))  # one block
 
@@ -123,8 +141,7 @@ def _scan(docs: DataFrame, items: Items, threshold: float, drop: bool = False) -
             for i, _, data, offsets in K.chunks(*K.buffers(batch.column("text"))):
                 h, s, e, per = word_hashes(data, offsets)
                 first = np.cumsum(per) - per
-                grams, each, _ = K.gram_hashes(h.view(np.uint64), per, SEED, whole_short=True)
-                row = np.repeat(np.arange(len(per)), each)
+                row, grams = text_grams(h, per, small)
                 some = np.flatnonzero(sieve[grams & np.uint64((1 << 20) - 1)]) if len(seeds) else np.zeros(0, np.int64)
                 lo, hi = np.searchsorted(seeds, grams[some], "left"), np.searchsorted(seeds, grams[some], "right")
                 some, lo, hi = some[hi > lo], lo[hi > lo], hi[hi > lo]
@@ -158,12 +175,14 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
     """Items with a text, in blocks of about BLOCK_BYTES."""
     ids: list[int | None] = []
     texts: list[str] = []
+    size = 0
     for row in benchmark.filter("text <> ''").select("item_id", "text").toLocalIterator():
         ids.append(row["item_id"])
         texts.append(row["text"])
-        if len(texts) % 256 == 0 and sum(map(len, texts)) > BLOCK_BYTES:
+        size += len(row["text"])
+        if size > BLOCK_BYTES:
             yield Items.of(ids, texts)
-            ids, texts = [], []
+            ids, texts, size = [], [], 0
     yield Items.of(ids, texts)
 
 
@@ -172,7 +191,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, threshold: fl
 
     score is the alignment's score as a part of the item's best possible;
     start and end are character offsets.  An item of fewer words than a seed
-    is only found in texts as short.  Null or empty texts and items hold
+    is found wherever its words are.  Null or empty texts and items hold
     nothing; repeated rows of either table give repeated results; empty
     tables give none.  Other columns are not read.
     """
@@ -187,7 +206,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, threshold: fl
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that hold no test item, all columns as they are."""
+    """The rows of docs that hold no test item, all columns as they are.
+
+    An item of fewer words than a seed is in most prose, so it only counts for
+    a text that has no other words.  Null and empty texts stay, and so does
+    everything without items; repeated rows are judged alike; other columns,
+    whatever their names, pass through.
+    """
     for items in _blocks(benchmark):
         if items.ids:
             docs = _scan(docs, items, threshold, drop=True)

@@ -68,7 +68,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+        coalesce(CAST(doc_id AS VARCHAR), '') || CASE WHEN count(*) OVER (PARTITION BY doc_id) = 1 THEN ''
+          ELSE ':' || sha256(coalesce(text, '')) || ':' || row_number() OVER (PARTITION BY doc_id, sha256(coalesce(text, '')) ORDER BY source) END AS draw_key
+      FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
 o AS (SELECT *, CAST(coalesce(sum(2 * source_size) OVER u, 0) AS BIGINT) AS full_before, CAST(sum(weight) OVER v AS BIGINT) AS rest,
@@ -80,7 +83,7 @@ l AS (SELECT max((CAST(1.5 AS DOUBLE) * total - full_before) / rest) AS level FR
 t AS (SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), weight * coalesce(level, 0)) AS target FROM w, l),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t)
 SELECT d.doc_id, d.size, r.source_size, r.target,
-  d.size * CAST(floor(rate) + CASE WHEN CAST('0x' || substr(sha256('mix:' || CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < rate - floor(rate)
+  d.size * CAST(floor(rate) + CASE WHEN CAST('0x' || substr(sha256('mix:' || d.draw_key), 1, 8) AS BIGINT) / 4294967296.0 < rate - floor(rate)
     THEN 1 ELSE 0 END AS BIGINT) AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """

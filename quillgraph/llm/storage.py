@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -19,10 +21,12 @@ def ensure_importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new folder of this machine where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and Spark runs on this machine alone, a new folder of it."""
     conf = spark.sparkContext.getConf()
     at = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not at:
+        if not conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -33,8 +37,14 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        atexit.register(self._clear)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+    def _clear(self) -> None:
+        """What is left goes when the driver ends."""
+        with contextlib.suppress(Exception):  # the session may be gone
+            self.drop()
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")

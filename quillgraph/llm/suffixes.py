@@ -8,7 +8,9 @@ form a run; a run's text is its context.  Equal contexts are kept once with
 their number.  Where a hash has several contexts, a suffix array over them
 decides: suffixes smaller than their successor are sorted directly, the rest
 are induced by scanning the buckets, and adjacent common prefixes of WINDOW
-bytes mark the repeated windows.
+bytes mark the repeated windows.  A hash with more contexts than one task
+should sort is split: its contexts are texts that are dealt out again, by the
+smallest hash of another hash function.
 """
 
 from __future__ import annotations
@@ -23,19 +25,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .joins import spread_lookup
 from .storage import Scratch
 
 WINDOW, GRAM = 200, 64
-#: Bytes of one suffix array, unless one hash has more; contexts of a hash beyond which its windows are counted by a shuffle instead.
-BATCH, HOT = 1 << 19, 20_000
+#: Bytes of one suffix array, unless one hash has more; contexts of a hash beyond which it is split, and how often at most
+#: (contexts that still share all of their smallest hashes then differ in a few bytes at their rims; they are sorted together).
+BATCH, HOT, SPLITS = 1 << 19, 4_000, 4
 #: No UTF-8 text has this byte.
 BREAK = 0xFF
 _NULL_ID = -(1 << 63)
 
 
-def _gram_values(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from every position on (len - GRAM + 1 of them), by doubling."""
-    h = data.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+def _gram_values(data: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the GRAM bytes from every position on (len - GRAM + 1 of them), by doubling; another one for each seed."""
+    h = data.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) % (1 << 64))
     size, mult = 1, 0xBF58476D1CE4E5B9
     while size < GRAM:
         h = h[:-size] * np.uint64(mult) + h[size:]
@@ -45,7 +49,7 @@ def _gram_values(data: np.ndarray) -> np.ndarray:
     return K.mix(h)
 
 
-def window_runs(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_runs(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive window starts with the same smallest gram hash: (row, first start, starts, that hash, whether it occurs twice within).
 
     Equal windows have the same smallest hash, wherever they are, so windows
@@ -55,7 +59,7 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) ->
     if n < window:
         z = np.zeros(0, np.int64)
         return z, z, z, z.view(np.uint64), z > 0
-    grams = low = _gram_values(data)
+    grams = low = _gram_values(data, seed)
     width, step = window - GRAM + 1, 1
     while step * 2 <= width:
         low = np.minimum(low[:-step], low[step:])
@@ -78,6 +82,36 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) ->
     return row[start], start, size, key, twice
 
 
+def _big_endian(text: bytes, depth: int) -> np.ndarray:
+    """The eight bytes from every position on as one number; zeros follow the text."""
+    padded = np.frombuffer(text + bytes(depth + 16), np.uint8)
+    word = np.zeros(len(text) + depth + 8, np.uint64)
+    for k in range(8):
+        word = (word << np.uint64(8)) | padded[k : k + len(word)]
+    return word
+
+
+def _sorted_directly(word: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """starts by their first ``depth`` bytes, eight at a time, among those that are still equal; of two that agree up to the text's end the shorter comes first."""
+    at = starts[::-1]
+    group = np.zeros(len(at), np.int64)
+    live = np.arange(len(at))
+    for k in range(0, depth, 8):
+        key = word[at[live] + k]
+        order = np.lexsort((key, group[live]))
+        at[live] = at[live][order]
+        key = key[order]
+        new = np.ones(len(live), bool)
+        new[1:] = (key[1:] != key[:-1]) | (group[live][1:] != group[live][:-1])
+        head = np.flatnonzero(new)
+        size = np.diff(np.append(head, len(live)))
+        group[live] = live[np.repeat(head, size)]
+        live = live[np.repeat(size > 1, size)]
+        if not len(live):
+            break
+    return at
+
+
 def suffix_array(text: bytes, depth: int = WINDOW) -> np.ndarray:
     """Starts of all suffixes in the order of their first ``depth`` bytes at least, by two-stage sorting."""
     t = np.frombuffer(text, np.uint8)
@@ -90,8 +124,7 @@ def suffix_array(text: bytes, depth: int = WINDOW) -> np.ndarray:
     told = np.where(rise != 0, np.arange(n), n)
     smaller = rise[np.minimum.accumulate(told[::-1])[::-1]] > 0  # than its successor
     direct = np.flatnonzero(smaller)
-    heads = [text[p : p + depth] for p in direct.tolist()]
-    direct = direct[sorted(range(len(heads)), key=heads.__getitem__)]
+    direct = _sorted_directly(_big_endian(text, depth), direct.copy(), depth)
     count, count_direct = np.bincount(t, minlength=256), np.bincount(t[direct], minlength=256)
     end = np.cumsum(count)
     begin = end - count
@@ -133,10 +166,7 @@ def common_prefixes(text: bytes, order: np.ndarray, depth: int = WINDOW) -> np.n
     out = np.zeros(n, np.int64)
     if n < 2:
         return out
-    padded = np.frombuffer(text + bytes(depth + 16), np.uint8)
-    word = np.zeros(n + depth + 8, np.uint64)
-    for k in range(8):
-        word = (word << np.uint64(8)) | padded[k : k + len(word)]
+    word = _big_endian(text, depth)
     a, b, live = order[:-1], order[1:], np.arange(n - 1)
     for k in range(0, depth, 8):
         differ = word[a + k] ^ word[b + k]
@@ -161,16 +191,28 @@ def repeated_starts(contexts: list[bytes], window: int = WINDOW) -> np.ndarray:
     return out
 
 
-def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        did, th = batch.column("did").to_numpy(), batch.column("th").to_numpy()
-        for i, _, data, offsets in K.chunks(*K.buffers(batch.column("text"))):
-            row, start, size, key, twice = window_runs(data, offsets)
-            ctx = K.span_hashes(data, start, start + size + WINDOW - 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (key.view(np.int64), ctx.view(np.int64), did[i + row], th[i + row], (start - offsets[row]).astype(np.int32), size.astype(np.int32), twice)],
-                ["key", "ctx", "did", "th", "s", "n", "twice"],
-            )
+_RUNS = "key long, ctx long, cty long, did long, th long, s int, n int, twice boolean, times long"
+
+
+def _emit_runs(level: int):
+    """Runs of every text (did, th, times, text); a context is named by the smallest hash and 128 bits of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            did, th, times = (batch.column(c).to_numpy() for c in ("did", "th", "times"))
+            for i, _, data, offsets in K.chunks(*K.buffers(batch.column("text"))):
+                row, start, size, key, twice = window_runs(data, offsets, seed=level)
+                if level:  # windows of different hashes so far stay apart
+                    key = K.mix(key ^ K.mix(did[i + row].view(np.uint64)))
+                end = start + size + WINDOW - 1
+                ctx = K.span_hashes(data, start, end)
+                cty = K.span_hashes(np.ascontiguousarray(data[::-1]), len(data) - end, len(data) - start, 5)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (key.view(np.int64), ctx.view(np.int64), cty.view(np.int64), did[i + row], th[i + row], (start - offsets[row]).astype(np.int32), size.astype(np.int32), twice, times[i + row])],
+                    [f.split()[0] for f in _RUNS.split(", ")],
+                )
+
+    return run
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,19 +229,19 @@ def _unpack(codec: pa.Codec, z: bytes, n: int) -> bytes:
     return codec.decompress(z, n, asbytes=True) if n else b""
 
 
+_CONTEXT = ["key", "ctx", "cty", "times", "contexts"]
+
+
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, ctx, times, bytes, contexts) of the runs in a text's list."""
+    """(key, ctx, cty, times, contexts, bytes) of the runs in a text's list."""
     codec = pa.Codec("zstd", 1)
     for batch in batches:
         for z, n, runs in zip(batch.column("z").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("runs").to_pylist(), strict=True):
             text = _unpack(codec, z, n)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r["key"] for r in runs], pa.int64()), pa.array([r["ctx"] for r in runs], pa.int64()), pa.array([r["times"] for r in runs], pa.int64()),
-                    pa.array([r["contexts"] for r in runs], pa.int64()), pa.array([text[r["s"] : r["s"] + r["n"] + WINDOW - 1] for r in runs], pa.binary()),
-                ],
-                ["key", "ctx", "times", "contexts", "bytes"],
-            )
+                [*(pa.array([r[c] for r in runs], pa.int64()) for c in _CONTEXT), pa.array([text[r["s"] : r["s"] + r["n"] + WINDOW - 1] for r in runs], pa.binary())],
+                [*_CONTEXT, "bytes"],
+            )
 
 
 def _spans(flags: np.ndarray) -> list[list[int]]:
@@ -210,66 +252,65 @@ def _spans(flags: np.ndarray) -> list[list[int]]:
 def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marked starts of every context: rows come ordered by key, whole keys to a partition."""
 
-    def solved(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        flags, at, out = repeated_starts([r[3] for r in rows]), 0, []
-        for _, _, times, text in rows:
+    def solved(rows: list[tuple]) -> pa.RecordBatch:
+        flags, at, out = repeated_starts([r[4] for r in rows]), 0, []
+        for *_, times, text in rows:
             starts = flags[at : at + len(text) - WINDOW + 1]
             out.append([[0, len(starts)]] if times > 1 else _spans(starts))
             at += len(text) + 1
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(out, pa.list_(pa.list_(pa.int32())))], ["key", "ctx", "marks"])
+        return pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], pa.int64()) for c in range(3)), pa.array(out, pa.list_(pa.list_(pa.int32())))], ["key", "ctx", "cty", "marks"])
 
-    held: list[tuple[int, int, int, bytes]] = []
+    held: list[tuple] = []
     size = 0
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "ctx", "times", "bytes")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "ctx", "cty", "times", "bytes")), strict=True):
             if size >= BATCH and row[0] != held[-1][0]:
                 yield solved(held)
                 held, size = [], 0
             held.append(row)
-            size += len(row[3]) + 1
+            size += len(row[4]) + 1
     if held:
         yield solved(held)
 
 
-def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for key, ctx, times, text in zip(*(batch.column(c).to_pylist() for c in ("key", "ctx", "times", "bytes")), strict=True):
-            starts = np.arange(len(text) - WINDOW + 1)
-            raw = np.frombuffer(text, np.uint8)
-            a, b = K.span_hashes(raw, starts, starts + WINDOW), K.span_hashes(raw[::-1], len(raw) - starts - WINDOW, len(raw) - starts, 5)
-            full = np.full(len(starts), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), b.view(np.int64), full * key, full * ctx, starts.astype(np.int32), full * times)], ["a", "b", "key", "ctx", "s", "times"])
-
-
-def _count_windows(contexts: DataFrame) -> DataFrame:
-    """The same marks for hashes with too many contexts for one task: each window by itself, counted by its 128-bit hash."""
-    each = contexts.mapInArrow(_emit_windows, "a long, b long, key long, ctx long, s int, times long")
-    often = each.groupBy("a", "b").agg(F.sum("times").alias("t")).filter("t > 1").select("a", "b")
-    starts = each.join(often, ["a", "b"]).groupBy("key", "ctx").agg(F.sort_array(F.collect_list("s")).alias("ss"))  # the starts of one context
-    return starts.select("key", "ctx", F.transform("ss", lambda s: F.array(s, s + 1)).alias("marks"))
+def _marks(texts: DataFrame, scratch: Scratch, hot: int, level: int = 0) -> DataFrame:
+    """(did, th, marks) of the texts (did, th, times, text) with repeated windows; a text that occurs several times has all of its windows twice."""
+    runs = scratch.keep(texts.mapInArrow(_emit_runs(level), _RUNS), f"runs-{level}")
+    keys = runs.groupBy("key").agg(F.sum("times").alias("t"), F.max("twice").alias("twice"), F.count(F.lit(1)).alias("c")).filter("t > 1 or twice")
+    again = spread_lookup(runs, keys.select("key", "c", F.lit(True).alias("met")), "key", "c", runs.count()).filter("met").drop("met")
+    again = scratch.keep(again, f"again-{level}")
+    scratch.drop(f"runs-{level}")
+    one = again.groupBy("key", "ctx", "cty").agg(F.sum("times").alias("times"), F.max("twice").alias("twice"), F.min(F.struct("did", "th", "s", "n")).alias("rep"))
+    one = scratch.keep(one, f"distinct-{level}")
+    per = one.groupBy("key").agg(F.count(F.lit(1)).alias("contexts"))
+    one = scratch.keep(spread_lookup(one, per.withColumn("c", F.col("contexts")), "key", "c", one.count()), f"contexts-{level}")
+    scratch.drop(f"distinct-{level}")
+    many = one.filter("contexts > 1 or times = 1")  # one context that occurs once repeats within
+    lists = many.groupBy("rep.did", "rep.th").agg(F.collect_list(F.struct(*_CONTEXT, F.col("rep.s").alias("s"), F.col("rep.n").alias("n"))).alias("runs"))  # of one text
+    held = texts.select("did", "th", "text").mapInArrow(_pack, "did long, th long, z binary, n_bytes long").join(lists, ["did", "th"])
+    cut = held.select("z", "n_bytes", "runs").mapInArrow(_cut_contexts, "key long, ctx long, cty long, times long, contexts long, bytes binary")
+    cut = scratch.keep(cut, f"bytes-{level}")
+    marks = "key long, ctx long, cty long, marks array<array<int>>"
+    last = level == SPLITS
+    cold = cut if last else cut.filter(F.col("contexts") <= hot)
+    cold = cold.dropDuplicates(["key", "ctx", "cty"])  # a repeated row gives its contexts twice
+    found = cold.repartition("key").sortWithinPartitions("key", "ctx", "cty").mapInArrow(_sort_contexts, marks)
+    large = cut.filter(F.col("contexts") > hot)
+    if not last and not large.isEmpty():
+        large = scratch.keep(large.dropDuplicates(["key", "ctx", "cty"]).withColumn("th", F.xxhash64("ctx", "cty")), f"large-{level}")
+        inner = _marks(large.select(F.col("key").alias("did"), "th", "times", F.col("bytes").alias("text")), scratch, hot, level + 1)
+        whole = F.when(F.col("times") > 1, F.array(F.array(F.lit(0), (F.octet_length("bytes") - WINDOW + 1).cast("int"))))
+        inner = large.join(inner.select(F.col("did").alias("key"), "th", "marks"), ["key", "th"], "left").withColumn("marks", F.coalesce(whole, "marks"))
+        found = found.unionByName(inner.filter("marks is not null").select("key", "ctx", "cty", "marks"))
+    whole = one.filter("contexts = 1 and times > 1").select("key", "ctx", "cty", F.array(F.array(F.lit(0), F.col("rep.n"))).alias("marks"))
+    found = found.filter(F.size("marks") > 0).unionByName(whole)
+    placed = F.transform("marks", lambda m: F.array(m[0] + F.col("s"), m[1] + F.col("s")))
+    return again.join(found, ["key", "ctx", "cty"]).groupBy("did", "th").agg(F.flatten(F.collect_list(placed)).alias("marks"))
 
 
 def find_spans(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
     """(did, th, marks): runs [first, end) of repeated window starts of every text that has any; did and th name the text."""
-    texts = _named(docs)
-    runs = scratch.keep(texts.mapInArrow(_emit_runs, "key long, ctx long, did long, th long, s int, n int, twice boolean"), "runs")
-    keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("twice").alias("t")).filter("c > 1 or t").select("key")
-    again = scratch.keep(runs.join(keys, "key"), "again")
-    scratch.drop("runs")
-    one = again.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("times"), F.max("twice").alias("twice"), F.min(F.struct("did", "th", "s", "n")).alias("rep"))
-    per = one.groupBy("key").agg(F.count(F.lit(1)).alias("contexts"))
-    one = scratch.keep(one.join(per, "key"), "contexts")
-    many = one.filter("contexts > 1 or times = 1")  # one context that occurs once repeats within
-    lists = many.groupBy("rep.did", "rep.th").agg(F.collect_list(F.struct("key", "ctx", "times", "contexts", F.col("rep.s").alias("s"), F.col("rep.n").alias("n"))).alias("runs"))
-    held = texts.mapInArrow(_pack, "did long, th long, z binary, n_bytes long").join(lists, ["did", "th"])
-    cut = held.select("z", "n_bytes", "runs").mapInArrow(_cut_contexts, "key long, ctx long, times long, contexts long, bytes binary")
-    cut = scratch.keep(cut, "bytes").dropDuplicates(["key", "ctx"])  # a repeated row gives its contexts twice
-    marks = "key long, ctx long, marks array<array<int>>"
-    cold = cut.filter(F.col("contexts") <= hot).repartition("key").sortWithinPartitions("key", "ctx").mapInArrow(_sort_contexts, marks)
-    found = cold.unionByName(_count_windows(cut.filter(F.col("contexts") > hot)))
-    whole = one.filter("contexts = 1 and times > 1").select("key", "ctx", F.array(F.array(F.lit(0), F.col("rep.n"))).alias("marks"))
-    found = found.filter(F.size("marks") > 0).unionByName(whole)
-    return again.join(found, ["key", "ctx"]).groupBy("did", "th").agg(F.flatten(F.collect_list(F.transform("marks", lambda m: F.array(m[0] + F.col("s"), m[1] + F.col("s"))))).alias("marks"))
+    return _marks(_named(docs).withColumn("times", F.lit(1).cast("long")), scratch, hot)
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -277,9 +318,9 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, keep_text: bool = False, hot: int = HOT, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: Scratch, keep_text: bool = False, hot: int = HOT, carry: list[str] | None = None, as_text: bool = False, prefix: str = "") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), and with keep_text the spans and the kept bytes; columns named in carry pass through;
-    with as_text the kept bytes are decoded, without characters cut in part.
+    with as_text the kept bytes are decoded, without characters cut in part; prefix goes before all names but doc_id.
 
     Texts are UTF-8 bytes, a null is empty; matches don't cross texts.  A
     repeated row is a text that starts elsewhere too, so both lose all
@@ -323,4 +364,5 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, keep_text: bool = False, h
 
     out = packed.mapInArrow(run, schema)
     out = out.withColumn("did", F.nullif(F.col("did"), F.lit(_NULL_ID)))
-    return out.withColumnsRenamed({"did": "doc_id"} | {f"__own_{c}": c for c in own})
+    told = {c: prefix + c for c in out.columns if c != "did" and not c.startswith("__own_")}
+    return out.withColumnsRenamed({"did": "doc_id"} | told | {f"__own_{c}": c for c in own})

@@ -9,6 +9,8 @@ rule.  Counting each section by itself would split such tokens.
 from __future__ import annotations
 
 import base64
+import hashlib
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,7 +23,10 @@ from . import kernels as K
 #: How the tokenizer of the .tiktoken files cuts text before merging (fixed value of that vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RULES = ("majority", "start", "fraction")
-_encoders: dict[int, tuple] = {}
+#: Runs of white space that the pattern takes but for their last character (or whole, at the end of a text) as one piece; longer ones than this
+#: are given to the encoder as that piece, since its pattern search fails on very long ones.
+_LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+_encoders: dict[str, tuple] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -30,8 +35,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _encoder(ranks: dict[bytes, int], pattern: str):
-    key = hash((len(ranks), pattern))
+def digest(ranks: dict[bytes, int], pattern: str) -> str:
+    """Name of an encoder: two that differ in any rank or the pattern have two."""
+    h = hashlib.sha256(pattern.encode())
+    for token, i in sorted(ranks.items()):
+        h.update(b"%d:%d:" % (i, len(token)) + token)
+    return h.hexdigest()
+
+
+def encode(encoder, text: str, pattern: str) -> list[int]:
+    """Tokens of a text of any kind: long white space is cut where PATTERN cuts it."""
+    if pattern != PATTERN:
+        return encoder.encode_ordinary(text)
+    out, at = [], 0
+    for blank in _LONG_BLANK.finditer(text):
+        end = blank.end() if blank.end() == len(text) else blank.end() - 1
+        out += encoder.encode_ordinary(text[at : blank.start()])
+        out += encoder._encode_single_piece(text[blank.start() : end])
+        at = end
+    return out + encoder.encode_ordinary(text[at:])
+
+
+def _encoder(key: str, ranks: dict[bytes, int], pattern: str):
     if key not in _encoders:
         import tiktoken
 
@@ -83,7 +108,8 @@ def count_by_line(docs: DataFrame, ranks: dict[bytes, int], rule: str = "majorit
 
     Sections are lines with their line feed, start and end are character
     offsets; the n_tokens of a document add up to its encoding's length.  A
-    null or empty text has one section without tokens.  Repeated rows give
+    null or empty text has one section without tokens.  With PATTERN white space
+    of any length is encoded; another pattern may refuse very long runs.  Repeated rows give
     repeated results, an empty table none; other columns are not read.
     """
     return _count(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("array<int>").alias("cuts")), ranks, rule, pattern)
@@ -99,10 +125,10 @@ def count_by_field(docs: DataFrame, fields: Sequence[str], ranks: dict[bytes, in
 def _count(texts: DataFrame, ranks: dict[bytes, int], rule: str, pattern: str) -> DataFrame:
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    shipped = texts.sparkSession.sparkContext.broadcast(ranks)  # one vocabulary file
+    shipped = texts.sparkSession.sparkContext.broadcast((digest(ranks, pattern), ranks))  # one vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, lens = _encoder(shipped.value, pattern)
+        encoder, lens = _encoder(*shipped.value, pattern)
         for batch in batches:
             ids, cuts = batch.column("doc_id").to_pylist(), batch.column("cuts").to_pylist()
             column = batch.column("text")
@@ -121,7 +147,7 @@ def _count(texts: DataFrame, ranks: dict[bytes, int], rule: str, pattern: str) -
                         stop = np.cumsum(cuts[r])
                         begin = stop - np.array(cuts[r])
                         which = np.flatnonzero(stop > begin)
-                    tokens = np.array(encoder.encode_ordinary(bytes(raw).decode()), np.int64)
+                    tokens = np.array(encode(encoder, bytes(raw).decode(), pattern), np.int64)
                     count, crossing = np.zeros(len(begin)), np.zeros(len(begin), np.int64)
                     if len(tokens):
                         count[which], crossing[which] = attribute(np.cumsum(lens[tokens]), begin[which], char_at, rule)

@@ -24,6 +24,8 @@ _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
 PREFIXES = (4, 5, 6)
+#: Least likelihood-ratio statistic (chi-square, one degree of freedom) of a term; below it, classes and term are taken to be independent (p > 0.0005).
+TELLING = 12.0
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,11 +146,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_la
     return scratch.keep(chosen.groupBy("text").agg(F.max("toxic").alias("toxic")), "sample")
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_labelled: int = 30_000, max_terms: int = 2048, rank: int = 6) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_labelled: int = 30_000, rank: int = 6) -> Machine:
     """Machine from the labelled documents among docs.
 
-    max_labelled bounds the sample, max_terms the terms (the most telling by
-    the likelihood-ratio statistic).  Copies of a text count once; if their
+    max_labelled bounds the sample, and so its terms, of which all with a
+    likelihood-ratio statistic of TELLING and more are used.  Copies of a text count once; if their
     labels differ, it is toxic.  Without labels of both kinds the machine has
     no terms and scores everything by the prior.
     """
@@ -164,8 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_labelled: int
     def part(x, n):  # x log(x / expected), 0 for 0
         return F.when(x > 0, x * F.log(x / ((F.col("pos") + F.col("neg")) * n / (pos + neg)))).otherwise(0.0)
 
-    told = counted.filter("pos + neg >= 3").withColumn("g", 2 * (part(F.col("pos"), pos) + part(F.col("neg"), neg))).filter("g >= 10")
-    best = told.orderBy(F.desc("g"), "term").limit(max_terms).collect()
+    best = counted.filter(2 * (part(F.col("pos"), pos) + part(F.col("neg"), neg)) >= TELLING).collect()  # terms of max_labelled texts
     if not best:
         return empty
     best.sort(key=lambda r: r["term"])
@@ -188,14 +189,14 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_labelled: int
     return train(machine, np.repeat(np.arange(len(rows)), per), at, np.array([r["toxic"] for r in rows]))
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs with score (0 to 1; the higher, the likelier toxic).
+def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
+    """docs with a score (0 to 1; the higher, the likelier toxic) of the given name.
 
-    A null or empty text has the score of no known term.  A column named
-    score is replaced; all others pass through.
+    A null or empty text has the score of no known term.  A column of that
+    name is replaced; all others pass through.
     """
-    docs = docs.drop(*[c for c in docs.columns if c == "score"])
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    docs = docs.drop(*[c for c in docs.columns if c == name])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,6 +204,6 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
             for i, j, data, offsets in K.chunks(*K.buffers(batch.column("text"))):
                 out[i:j] = machine.raw(*machine.hits(*terms(data, offsets)), j - i)
             p = 1 / (1 + np.exp(-np.clip(out, -40, 40)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)

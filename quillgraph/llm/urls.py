@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import Scratch
+
 #: Symbols of the models; any other character is the last one, "*". At most 40**4 four-grams exist.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789/.-*"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,22 +54,23 @@ def ratio_model(labelled: DataFrame) -> DataFrame:
     """(gram, ratio): log10 P(accepted) - log10 P(rejected) of a character after its context.
 
     labelled: gram, good, bad (counts in either class; both 0 for grams that
-    only other URLs have).  One row per gram, at most 40**4.
+    only other URLs have).  One row per gram, at most 40**4.  Each order's
+    contexts, at most 40**3 rows of it, and the order below are broadcast.
     """
-    out = labelled
-    size = float(len(ALPHABET))
+    below = None
     for k in range(4):  # k characters of context
-        key = F.substring("gram", 4 - k, k + 1)
-        ctx = F.substring("gram", 4 - k, k) if k else F.lit("")
-        out = out.withColumn("__c", ctx).withColumn("__g", key)
-        by_g, by_c = Window.partitionBy("__c", "__g"), Window.partitionBy("__c")
+        each = labelled.groupBy(F.substring("gram", 4 - k, k + 1).alias("g")).agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))
+        each = each.withColumn("c", F.substring("g", 1, k)).withColumn("low", F.substring("g", 2, k))
+        contexts = each.groupBy("c").agg(*[x for cls in ("good", "bad") for x in (F.sum(f"n_{cls}").alias(f"all_{cls}"), F.sum((F.col(f"n_{cls}") > 0).cast("int")).alias(f"types_{cls}"))])
+        each = each.join(F.broadcast(contexts), "c")
+        if k:
+            each = each.join(F.broadcast(below), "low")
         for cls in ("good", "bad"):
-            out = out.withColumn("__n", F.sum(cls).over(by_g)).withColumn("__first", F.row_number().over(by_g.orderBy("gram")))
-            types = F.sum(F.when((F.col("__first") == 1) & (F.col("__n") > 0), 1).otherwise(0)).over(by_c)
-            lower = F.col(f"__p_{cls}") if k else F.lit(1.0 / size)
-            out = out.withColumn("__all", F.sum(cls).over(by_c)).withColumn("__t", types)
-            out = out.withColumn(f"__p_{cls}", F.when(F.col("__all") > 0, (F.col("__n") + F.col("__t") * lower) / (F.col("__all") + F.col("__t"))).otherwise(lower))
-    return out.select("gram", (F.log10("__p_good") - F.log10("__p_bad")).alias("ratio"))
+            lower = F.col(f"p_{cls}") if k else F.lit(1.0 / len(ALPHABET))
+            seen = (F.col(f"n_{cls}") + F.col(f"types_{cls}") * lower) / (F.col(f"all_{cls}") + F.col(f"types_{cls}"))
+            each = each.withColumn(f"p_{cls}", F.when(F.col(f"all_{cls}") > 0, seen).otherwise(lower))
+        below = each.select(F.col("g").alias("low"), "p_good", "p_bad")
+    return below.select(F.col("low").alias("gram"), (F.log10("p_good") - F.log10("p_bad")).alias("ratio"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], fit_share: int = 4, steps: int = 200) -> DataFrame:
@@ -75,30 +78,35 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], fit_share: int = 4
 
     The models learn from the URLs that rules decide, each distinct URL once;
     one in ``fit_share`` of these (by hash) calibrates the threshold instead,
-    over score bins of 1/steps, by the mean of both classes' accuracy; ties
-    take the lowest bin.  Without rejected or accepted URLs every score is 0
+    over score bins of 1/steps, by the mean of both classes' accuracy; it lies
+    halfway between the bins that it parts, ties take the lowest.  Without rejected or accepted URLs every score is 0
     or the threshold is 0, and scores at or above the threshold are allowed.
-    Null, empty and malformed urls have empty host and path and are judged by
-    the models like any other.  Repeated urls get equal verdicts.
+    The models read the whole url, with query and fragment; null, empty and
+    malformed ones, whose host and path are empty, are judged by their text
+    like any other.  Repeated urls get equal verdicts.
     """
     h, p = host_path(F.col("url"))
     pages = pages.drop(*[c for c in pages.columns if c in ("host", "path", "rule", "verdict", "score")])
     pages = pages.withColumn("host", h).withColumn("path", p)
     r, v = rule_match(F.col("host"), F.col("path"), rules)
     pages = pages.withColumn("rule", r).withColumn("__v", v)
-    urls = pages.groupBy("host", "path").agg(F.first("__v").alias("__v"))
-    urls = urls.withColumn("__t", F.concat("host", "path")).withColumn("__fit", F.pmod(F.xxhash64("__t"), F.lit(fit_share)) != 0)
-    each = urls.select("host", "path", "__v", "__fit", F.length("__t").alias("__len"), F.explode(grams(F.col("__t"))).alias("gram"))
+    pages = pages.withColumn("__t", F.coalesce("url", F.lit("")))
+    scratch = Scratch(pages.sparkSession, "urls")
+    urls = scratch.keep(pages.groupBy("__t").agg(F.first("__v").alias("__v")), "distinct")
+    urls = urls.withColumn("__fit", F.pmod(F.xxhash64("__t"), F.lit(fit_share)) != 0)
+    # few bytes, much work: by a set number, which isn't merged into fewer tasks
+    urls = urls.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__t")
+    each = urls.select("__t", "__v", "__fit", F.explode(grams(F.col("__t"))).alias("gram"))
     learn = F.col("__fit") & F.col("__v").isNotNull()
     counted = each.groupBy("gram").agg(
         F.sum(F.when(learn & (F.col("__v") == "allow"), 1).otherwise(0)).alias("good"),
         F.sum(F.when(learn & (F.col("__v") == "block"), 1).otherwise(0)).alias("bad"),
     )
-    model = ratio_model(counted)
+    model = ratio_model(scratch.keep(counted, "counted"))
     wanted = each.filter("__v is null or not __fit")
     scored = (
         wanted.join(F.broadcast(model), "gram")  # at most 40**4 rows of a four-letter key and a double
-        .groupBy("host", "path")
+        .groupBy("__t")
         .agg(F.sum("ratio").alias("__s"), F.count(F.lit(1)).alias("__n"), F.first("__v").alias("__v"))
         .withColumn("score", F.round(F.col("__s") / F.col("__n"), 9))
     )
@@ -109,10 +117,12 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], fit_share: int = 4
     run = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     below = lambda c: F.coalesce(F.sum(c).over(run), F.lit(0)) / F.greatest(F.sum(c).over(every), F.lit(1))
-    cut = bins.withColumn("gain", F.round(below("bad") - below("good"), 9)).agg(F.max_by("b", F.struct("gain", -F.col("b"))).alias("cut"))
+    cut = bins.withColumn("gain", F.round(below("bad") - below("good"), 9))
+    # halfway from the end of the last bin below
+    cut = cut.withColumn("at", (F.col("b") + F.coalesce(F.lag("b").over(Window.orderBy("b")) + 1, F.col("b"))) / 2).agg(F.max_by("at", F.struct("gain", -F.col("b"))).alias("cut"))
     decided = scored.filter("__v is null").crossJoin(F.broadcast(cut)).select(  # one row
-        F.col("host").alias("__h"), F.col("path").alias("__p"), "score",
+        F.col("__t").alias("__u"), "score",
         F.when(F.col("score") >= F.coalesce(F.col("cut"), F.lit(0)) / steps, "allow").otherwise("block").alias("__m"),
     )
-    both = pages.join(decided, (F.col("host") == F.col("__h")) & (F.col("path") == F.col("__p")), "left")
-    return both.withColumn("verdict", F.coalesce("__v", "__m")).drop("__v", "__m", "__h", "__p")
+    both = pages.join(decided, F.col("__t") == F.col("__u"), "left")
+    return both.withColumn("verdict", F.coalesce("__v", "__m")).drop("__v", "__m", "__t", "__u")

@@ -67,7 +67,7 @@ def test_suffixes(odd, none, scratch):
     assert kept.filter("doc_id = 4").first()["kept"] == "one" and {"key", "did"} <= set(kept.columns)
 
 
-def test_hot_hashes_count_windows(spark, scratch):
+def test_hot_hashes_are_split(spark, scratch):
     rng = random.Random(3)
     junk = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
     core = junk(230)
@@ -76,6 +76,17 @@ def test_hot_hashes_count_windows(spark, scratch):
     assert plain == hot and all(r[2] >= 230 for r in plain)
 
 
+def test_periodic_text_in_bounded_memory():
+    """A text of one long run sorts without copies of its windows."""
+    import tracemalloc
+
+    text = b"ab" * 200_000
+    tracemalloc.start()
+    marked = suffixes.repeated_starts([text])
+    assert tracemalloc.get_traced_memory()[1] < 150 * len(text) and marked[: len(text) - 199].all() and not marked[len(text) - 199 :].any()
+    tracemalloc.stop()
+
+
 def test_suffix_array_against_sorting():
     rng = random.Random(5)
     for _ in range(60):
@@ -99,6 +110,65 @@ def test_tokens(odd, none):
         tokens.count_by_line(odd, ranks, rule="any")
 
 
+def test_tokens_of_long_white_space():
+    """Runs that the encoder's own search survives come out as it cuts them; longer ones come out at all."""
+    import tiktoken
+
+    ranks = tokens.read_ranks(Q.VOCABULARY)
+    e = tiktoken.Encoding("t", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(1)
+    for text in (" " * 20_000, "a" + " " * 20_000, " " * 20_000 + "b c", "a\n" + "\n" * 15_000 + "b" + " \t" * 9_000 + "  x", "\u3000" * 12_000 + "y", "".join(rng.choice(" \n") for _ in range(30_000)) + "1 2"):
+        assert tokens.encode(e, text, tokens.PATTERN) == e.encode_ordinary(text)
+    assert e.decode(tokens.encode(e, "x" + " " * 1_000_000 + "y", tokens.PATTERN)) == "x" + " " * 1_000_000 + "y"
+
+
+def test_vocabularies_of_one_size(spark):
+    """Two of equal size in one worker: each counts by its own."""
+    one = {bytes([i]): i for i in range(256)} | {b"ab": 256}
+    two = {bytes([i]): i for i in range(256)} | {b"cd": 256}
+    docs = spark.createDataFrame([(1, "abcdcd")], "doc_id long, text string")
+    assert [tokens.count_by_line(docs, r).first()["n_tokens"] for r in (one, two)] == [5, 4]
+
+
+def test_counts_by_line_token_by_token(spark):
+    """Every line's counts against a loop over tokens and characters, for all rules."""
+    import tiktoken
+
+    ranks = tokens.read_ranks(Q.VOCABULARY)
+    e = tiktoken.Encoding("t", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()} | {10**6: "a\n\n\n b \n\n c\u00e9\n"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for rule in tokens.RULES:
+        got: dict = {}
+        for r in tokens.count_by_line(docs, ranks, rule).collect():
+            got.setdefault(r["doc_id"], []).append((r["section"], r["n_tokens"], r["n_crossing"]))
+        for d, text in texts.items():
+            line_of = []  # of every byte
+            for k, line in enumerate(text.splitlines(keepends=True) if False else [x + "\n" for x in text.split("\n")]):
+                line_of += [k] * len(line.encode())
+            first = [(b & 0xC0) != 0x80 for b in text.encode()]
+            n = max(1, len(text.split("\n")) - (text.endswith("\n") and len(text) > 0))
+            count, cross, at = [0.0] * n, [0] * n, 0
+            for token in e.encode_ordinary(text):
+                size = len(e.decode_single_token_bytes(token))
+                own = line_of[at : at + size]
+                chars = {k: sum(f for f, o in zip(first[at : at + size], own, strict=True) if o == k) for k in own}
+                part = chars if sum(chars.values()) else {k: own.count(k) for k in own}
+                if len(part) > 1:
+                    for k in part:
+                        cross[k] += 1
+                if rule == "start":
+                    count[own[0]] += 1
+                elif rule == "majority":
+                    count[max(part, key=lambda k: (part[k], -k))] += 1
+                else:
+                    for k, v in part.items():
+                        count[k] += v / sum(part.values())
+                at += size
+            assert [(k, pytest.approx(count[k]), cross[k]) for k in range(n)] == sorted(got[d])
+
+
 def test_boundary_rules():
     char_at = np.arange(11)
     ends, cuts = np.array([3, 7, 10]), np.array([0, 4, 9])  # the second token has 1 of 4 characters before the cut, the third 2 of 3
@@ -229,6 +299,98 @@ def test_mixing(spark, odd, none):
         assert abs(r["taken"] - r["target"]) < 0.1 * r["target"]
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Equal rows draw apart, and a rerun over other partitions takes as many."""
+    rows = spark.range(300).selectExpr("7L doc_id", "concat_ws(' ', array_repeat('w', 100)) text", "'a' source")
+    other = spark.range(300).selectExpr("id + 100 doc_id", "concat_ws(' ', array_repeat('w', 100)) text", "'b' source")
+    docs = rows.unionByName(other)
+    taken = [{r["source"]: (r["taken"], r["target"]) for r in mixing.mix(d).groupBy("source", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()} for d in (docs.repartition(3), docs.repartition(7))]
+    assert taken[0] == taken[1] and all(abs(t - want) < 0.12 * want for t, want in taken[0].values())
+
+
+def test_ranks_of_many_sources(spark, scratch):
+    names = [None, "https://a", *(f"https://{i:05d}" for i in range(500)), "é", "z", "\U0001f600"]
+    sizes = spark.createDataFrame([(n, 1) for n in names], "source string, source_size long").repartition(5)
+    got = {r["source"]: r["weight"] for r in mixing.weighted_sources(sizes, (5, 2, 1), scratch).collect()}
+    order = [*sorted(n for n in names if n is not None), None]
+    assert got == {n: (5, 2, 1)[i % 3] for i, n in enumerate(order)}
+
+
+def test_url_models_on_rules_kept_from_them(spark):
+    """The models learn from rules of some hosts and judge others, whose good and bad urls differ in their words, also behind a ?."""
+    rng = random.Random(3)
+    good, bad = ["article", "science", "history", "library"], ["casino", "jackpot", "poker", "xbonus"]
+    rows, truth = [], {}
+    for i in range(1200):
+        words, kind = (good, "allow") if i % 2 else (bad, "block")
+        tail = f"{rng.choice(words)}/{rng.choice(words)}{rng.randint(1, 99)}"
+        host = ("g.org" if i % 2 else "b.com") if i % 3 else "new.net"
+        rows.append((i, f"http://{host}/{tail}" if i % 5 else f"http://{host}/x?{tail}"))
+        truth[i] = kind
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), [("allow", "g.org/"), ("block", "b.com/")]).filter("rule is null").collect()
+    assert len(got) == 400 and sum(r["verdict"] == truth[r["page_id"]] for r in got) >= 0.95 * len(got)
+
+
+def test_short_items_are_found_everywhere(spark, scratch):
+    docs = spark.createDataFrame([(1, "there is one here"), (2, "One two, three"), (3, "nothing"), (4, "one")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "one"), (2, "two three"), (3, "four five six")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["score"], r["start"], r["end"]) for r in decontamination.leaks(docs, bench, scratch).collect()}
+    assert got == {(1, 1, 1.0, 9, 12), (2, 1, 1.0, 0, 3), (2, 2, 1.0, 4, 14), (4, 1, 1.0, 0, 3)}
+    assert [r["doc_id"] for r in decontamination.clean(docs, bench).collect()] == [1, 2, 3]
+
+
+@pytest.mark.parametrize("share, least", [(0.05, 0.99), (0.1, 0.97), (0.2, 0.9)])
+def test_edited_copies_of_items(spark, scratch, share, least):
+    """Of 200 items of 40 words, copies with words replaced, dropped and added at random are found."""
+    rng = random.Random(int(share * 100))
+    word = lambda: f"v{rng.randint(0, 3000)}"
+    items = [[word() for _ in range(40)] for _ in range(200)]
+
+    def edited(w: list[str]) -> list[str]:
+        out = []
+        for x in w:
+            kind = rng.randint(0, 2) if rng.random() < share else 3
+            out += {0: [word()], 1: [], 2: [x, word()], 3: [x]}[kind]
+        return out
+
+    docs = spark.createDataFrame([(i, " ".join([*(word() for _ in range(100)), *edited(w), *(word() for _ in range(100))])) for i, w in enumerate(items)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    hits = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench, scratch).collect()}
+    assert sum((i, i) in hits for i in range(200)) >= least * 200 and all(a == b for a, b in hits)
+
+
+def test_pipeline_stages_keep_columns(spark, odd):
+    """Columns with an operator's own names, nulls, empty tables and repeated rows."""
+    import corpus_pipeline as P
+
+    names = ["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "target"]
+    docs = odd.select("*", *[F.lit(f"own {c}").alias(c) for c in names])
+    for name, stage in P.STAGES[:4]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert r["score"] == 9.9 and all(r[c] == f"own {c}" for c in names), name
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+    mixed = P.mix_sources(spark, docs, "")
+    assert mixed.count() > 0 and P.mix_sources(spark, docs.limit(0), "").count() == 0
+
+
+def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
+    from quillgraph.llm import storage
+
+    class Conf(dict):
+        pass
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            getConf = staticmethod(lambda: Conf({"spark.master": "spark://host:7077"}))
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Session)
+
+
 def test_urls(spark):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "HTTP://A.ORG"), (5, "http://example.org/es/x?y#z"), (6, "http://x.example.org/en/12"), (7, "x://" + "é" * 3000 + "/p"), (7, "http://b.com/fr/"), (8, "http://evilorg/"), (9, "a://b://c.org/d")]
     df = spark.createDataFrame([(*r, "h", "p", "r", "v", 0.5) for r in rows], "page_id long, url string, host string, path string, rule string, verdict string, score double")
