@@ -87,10 +87,10 @@ SELECT DISTINCT src, m.kept AS dst FROM e JOIN m ON dst = old WHERE src <> m.kep
 def remap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    e = T.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    # suppliers are numbered downwards from -1 meanwhile: they share no id with parts, which alone are merged
+    e = T.table(spark, sf_dir, "lineitem").select((-F.col("l_suppkey") - 1).alias("src"), F.col("l_partkey").alias("dst")).distinct()
     m = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("old"), F.min("p_partkey").over(Window.partitionBy("p_brand", "p_size")).alias("kept"))
-    left = e.join(m.withColumnRenamed("old", "dst"), "dst", "left").select("src", F.coalesce("kept", "dst").alias("dst"))
-    return left.filter("src <> dst").distinct()
+    return G.remap(e, m).select((-F.col("src") - 1).alias("src"), "dst").filter("src <> dst").distinct()
 
 
 _SPANS = """WITH a AS (SELECT l_orderkey AS article, l_linenumber AS id, CAST(l_quantity AS BIGINT) * 10 AS s, CAST(l_quantity AS BIGINT) * 10 + 15 AS e FROM lineitem),

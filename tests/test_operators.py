@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import evaluate as E
 from quillgraph.operators import graph as G
+from quillgraph.operators import lookup as L
 from quillgraph.operators import recommend as C
 from quillgraph.operators import resolve as I
 from quillgraph.operators import routing as R
@@ -95,6 +96,28 @@ def test_components_and_remap(spark):
     m = spark.createDataFrame([("b", "a")], "old string, kept string")
     edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
     assert rows(G.remap(edges, m), "src", "dst") == [("a", "c")]
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)], "old string, kept string")
+    assert rows(G.remap(spark.createDataFrame([("n0", "x"), ("n5", "n9"), ("y", "n8")], "src string, dst string"), chain), "src", "dst") == [("n9", "x"), ("y", "n9")]
+    with pytest.raises(ValueError):
+        G.last_kept(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "old string, kept string"), rounds=4)
+
+
+def test_lookups(spark):
+    a = spark.createDataFrame([(["x"], "y", "t"), (["x"], "x", "t"), (None, "y", "t"), (["x"], "t", "t"), (["x"], None, "t")], "a array<string>, n string, t string")
+    assert [r[0] for r in a.select(L.add_alias(F.col("a"), F.col("n"), F.col("t"))).collect()] == [["x", "y"], ["x"], ["y"], ["x"], ["x"]]
+    assert [r[0] for r in a.select(L.first_label(F.col("a"), ["x", "z"])).collect()] == ["x", "x", None, "x", "x"]
+    c = spark.createDataFrame([("a?>é", 5)], "s string, i long").withColumn("c", L.encode_cursor(F.col("s"), F.col("i")))
+    got = c.select("c", L.decode_cursor(F.col("c"), 2).alias("p"), L.decode_cursor(F.col("c"), 3).alias("q"), L.decode_cursor(F.col("c"), 2, 2).alias("r")).first()
+    assert got["p"] == ["a?>é", "5"] and got["q"] is None and got["r"] is None and not set(got["c"]) & set("+/=")
+    lease = spark.createDataFrame([(1, None, None), (2, "o", 5), (3, "o", 50)], "id long, owner string, lease long")
+    assert rows(L.claim(lease, "me", F.lit(10)), "id", "won", "owner") == [(1, True, "me"), (2, True, "me"), (3, False, "o")]
+    items = spark.createDataFrame([(1, "a", 1, "k", 0.5), (1, "a", 2, "k", 0.9), (1, "b", 1, "k", 0.1), (1, "c", 3, "?", 0.1), (1, None, 4, "k", 0.1)], "user long, event string, rank int, kind string, score double")
+    assert rows(L.valid_items(items, ["k"]), "event", "rank") == [("a", 1)]
+    one, none = spark.createDataFrame([(1, 1)], "u long, n long"), spark.createDataFrame([], "u long, n long")
+    known = spark.createDataFrame([(1,), (2,)], "n long")
+    want = spark.createDataFrame([(1, 2), (1, 2), (1, 9)], "u long, n long")
+    assert rows(L.set_difference(one, want, known, ["u", "n"]), "u", "n", "change") == [(1, 1, "REMOVE"), (1, 2, "ADD")]
+    assert rows(L.set_difference(none, none, known, ["u", "n"]), "u", "n") == []
 
 
 def test_entities(spark):
