@@ -107,12 +107,20 @@ def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "pages").select("page_id", url.alias("url"), F.sha2(url, 256).alias("url_hash"))
 
 
-@register("url_hash_dedup", r"""WITH q AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)) AS host FROM pages)
-SELECT host, min(page_id) AS page_id FROM q GROUP BY 1""")
+_HASHED = r"""WITH p AS (SELECT page_id, trim(url) AS u FROM pages),
+q AS (SELECT *, regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]+)([^?#]*)(\?[^#]*)?(#.*)?$', ['s', 'h', 'p', 'q', 'f']) AS m FROM p),
+a AS (SELECT page_id, m, list_filter(string_split(substr(m.q, 2), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|fbclid|gclid|igshid)(=|$)')) AS args FROM q),
+n AS (SELECT page_id, lower(m.s) || '://' || lower(m.h) || m.p || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS url FROM a)
+"""
+
+
+@register("url_hash_dedup", _HASHED + """SELECT sha256(url) AS url_hash, url, page_id FROM n QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id % 9, page_id) = 1""")
 def url_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = T.table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract(F.col("url"), r"^[A-Za-z]+://([^/?#]+)", 1)).alias("host"))
-    rows = p.select(F.col("host").alias("url_hash"), F.lit("general").alias("category"), F.col("page_id").alias("pos"), F.col("host").alias("url"), "page_id", "host")
-    return readers.first_by_category(rows).select("host", "page_id")
+    """The first page of each normalised url, by the category that its request would have been of, then by place."""
+    url = X.normalise_url(F.col("url"))
+    category = F.element_at(F.array(*[F.lit(c) for c in readers.CATEGORIES]), (F.col("page_id") % len(readers.CATEGORIES) + 1).cast("int"))
+    rows = T.table(spark, sf_dir, "pages").select("page_id", url.alias("url"), F.sha2(url, 256).alias("url_hash"), category.alias("category"), F.col("page_id").alias("pos"))
+    return readers.first_by_category(rows).select("url_hash", "url", "page_id")
 
 
 @register("content_collision", """WITH g AS (SELECT sha256(substr(text, strpos(text, chr(10)) + 1)) AS h, count(DISTINCT string_split(text, chr(10))[1]) AS titles, count(*) AS n FROM documents GROUP BY 1)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
 from ..operators import evaluate as E
 from ..operators import recommend as C
 from ..operators import routing as R
@@ -16,14 +15,22 @@ AS_OF = "2001-08-02"
 _CONSUMED = """WITH seen AS (SELECT o_custkey AS u, l_partkey AS e, count(*) AS clicks, max(o_orderdate) AS last_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
 prim AS (SELECT DISTINCT l_partkey AS e FROM lineitem WHERE l_linenumber = 1)
 """
-_CF = _CONSUMED + """, size AS (SELECT u, count(*) AS n FROM seen GROUP BY 1),
-sim AS (SELECT a.u, b.u AS peer, count(*) AS k FROM seen a JOIN seen b ON a.e = b.e AND a.u <> b.u GROUP BY 1, 2),
-j AS (SELECT sim.u, peer, k / (x.n + y.n - k) AS s FROM sim JOIN size x ON x.u = sim.u JOIN size y ON y.u = peer),
+# seen: rows that users are scored by; pool: rows of their peers
+_PEERS = """, size AS (SELECT u, count(*) AS n FROM seen GROUP BY 1), psize AS (SELECT u, count(*) AS n FROM pool GROUP BY 1),
+sim AS (SELECT a.u, b.u AS peer, count(*) AS k FROM seen a JOIN pool b ON a.e = b.e AND a.u <> b.u GROUP BY 1, 2),
+j AS (SELECT sim.u, peer, k / (x.n + y.n - k) AS s FROM sim JOIN size x ON x.u = sim.u JOIN psize y ON y.u = peer),
 top AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY u ORDER BY s DESC, peer) <= 50),
-raw AS (SELECT top.u, seen.e, sum(s) AS raw FROM top JOIN seen ON seen.u = top.peer JOIN prim ON prim.e = seen.e WHERE NOT EXISTS (SELECT 1 FROM seen o WHERE o.u = top.u AND o.e = seen.e) GROUP BY 1, 2),
+raw AS (SELECT top.u, pool.e, sum(s) AS raw FROM top JOIN pool ON pool.u = top.peer JOIN prim ON prim.e = pool.e WHERE NOT EXISTS (SELECT 1 FROM seen o WHERE o.u = top.u AND o.e = pool.e) GROUP BY 1, 2),
 cf AS (SELECT u, e, raw / max(raw) OVER (PARTITION BY u) AS cf FROM raw),
 best AS (SELECT u, e, cf FROM cf QUALIFY row_number() OVER (PARTITION BY u ORDER BY round(cf, 9) DESC, e) <= 20)
 """
+_CF = _CONSUMED + ", pool AS (SELECT * FROM seen)" + _PEERS
+_CBF = """, vec AS (SELECT p_partkey AS e, CAST(embedding AS DOUBLE[]) AS v FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings)),
+wt AS (SELECT u, e, ln(1 + clicks) * exp(-ln(2) * greatest(epoch(TIMESTAMP '2001-08-02' - last_at) / 86400.0, 0) / 300) AS w FROM seen),
+pc AS (SELECT u, i, sum(w * v[i]) / sum(w) AS x FROM wt JOIN vec USING (e), generate_series(1, 64) t(i) GROUP BY 1, 2), pf AS (SELECT u, list(x ORDER BY i) AS v FROM pc GROUP BY 1),
+near AS (SELECT pf.u, vec.e, round((1 + list_cosine_similarity(pf.v, vec.v)) / 2, 9) AS cbf FROM pf, vec SEMI JOIN prim ON prim.e = vec.e),
+cb AS (SELECT u, e, cbf FROM near WHERE NOT EXISTS (SELECT 1 FROM seen o WHERE o.u = near.u AND o.e = near.e) QUALIFY row_number() OVER (PARTITION BY u ORDER BY cbf DESC, e) <= 20)
+"""
 
 
 def _cf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,17 +52,39 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("event"), "embedding", "label")
 
 
-@register("cbf_similar", """WITH q AS (SELECT label, list_transform(generate_series(1, 64), lambda i: 0.0) AS z FROM embeddings LIMIT 0),
-c AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM embeddings, generate_series(1, 64) g(i) GROUP BY 1, 2), p AS (SELECT label, list(v ORDER BY i) AS v FROM c GROUP BY 1),
-s AS (SELECT p.label AS profile, vec_id, round((1 + list_cosine_similarity(p.v, CAST(embedding AS DOUBLE[]))) / 2, 6) AS score FROM p, embeddings)
-SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY profile ORDER BY score DESC, vec_id) <= 20""")
+def _event_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event, embedding) of every event; the vectors are fewer, so some share one."""
+    v = T.table(spark, sf_dir, "embeddings")
+    n = v.agg(F.count(F.lit(1)).alias("k"))  # one row
+    e = T.events(spark, sf_dir).crossJoin(F.broadcast(n)).select("event", (F.col("event") % F.col("k")).alias("vec_id"))
+    return e.join(v.select("vec_id", "embedding"), "vec_id").select("event", "embedding")
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.consumed(spark, sf_dir).withColumn("favorited", F.lit(False))
+
+
+def _cbf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen, v = _history(spark, sf_dir), _event_vectors(spark, sf_dir)
+    primary = v.join(seen.filter("is_primary").select("event").distinct(), "event", "left_semi")
+    return C.content_based(C.profiles(seen, v, F.lit(AS_OF).cast("timestamp_ntz"), 300.0), primary, seen)
+
+
+@register("cbf_similar", """WITH c AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM embeddings, generate_series(1, 64) g(i) GROUP BY 1, 2), p AS (SELECT label, list(v ORDER BY i) AS v FROM c GROUP BY 1),
+s AS (SELECT p.label AS profile, vec_id, round((1 + list_cosine_similarity(p.v, CAST(embedding AS DOUBLE[]))) / 2, 9) AS r FROM p, embeddings)
+SELECT profile, vec_id, round(r, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY profile ORDER BY r DESC, vec_id) <= 20""")
 def cbf_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     mean = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("v"))
-    p = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("profile"))
-    scored = p.withColumnRenamed("label", "cluster").crossJoin(v.select(F.col("event").alias("vec_id"), "embedding"))  # ten profiles
-    s = scored.select(F.col("cluster").alias("profile"), "vec_id", F.round(V.index_score(V.cosine(F.col("profile"), F.col("embedding"))), 6).alias("score"))
-    return R.top_per(s, ["profile"], [F.desc("score"), F.col("vec_id")], 20)
+    p = mean.groupBy(F.col("label").alias("user")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("profile"))
+    nothing = v.select(F.col("label").alias("user"), "event").limit(0)
+    s = C.content_based(p, v, nothing)
+    return s.select(F.col("user").cast(v.schema["label"].dataType).alias("profile"), F.col("event").alias("vec_id"), F.round("cbf", 6).alias("score"))
+
+
+@register("cbf_scores", _CONSUMED + _CBF + 'SELECT u AS "user", e AS event, round(cbf, 6) AS cbf FROM cb')
+def cbf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cbf(spark, sf_dir).withColumn("cbf", F.round("cbf", 6))
 
 
 @register("user_profile_vector", """WITH w AS (SELECT user_id AS u, event_id % (SELECT count(*) FROM embeddings) AS vec_id, count(*) AS clicks, max(ts) AS last_at, max(value) >= 90 AS fav FROM events GROUP BY 1, 2),
@@ -88,17 +117,14 @@ def cold_start_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.one_per_group(scored).select("rank", "event", "story", F.round("score", 6).alias("score"))
 
 
-@register("blend_story_dedup", _CF + """, c2 AS (SELECT u, e, CAST(e % 97 AS DOUBLE) / 97 AS cbf FROM seen WHERE e % 5 = 0 QUALIFY row_number() OVER (PARTITION BY u ORDER BY e % 97 DESC, e) <= 20),
-bl AS (SELECT coalesce(best.u, c2.u) AS u, coalesce(best.e, c2.e) AS e, round(0.7 * coalesce(cbf, 0) + 0.3 * coalesce(cf, 0), 9) AS score FROM best FULL JOIN c2 ON best.u = c2.u AND best.e = c2.e),
+@register("blend_story_dedup", _CF + _CBF + """, bl AS (SELECT coalesce(best.u, cb.u) AS u, coalesce(best.e, cb.e) AS e, round(0.7 * coalesce(cbf, 0) + 0.3 * coalesce(cf, 0), 9) AS score FROM best FULL JOIN cb ON best.u = cb.u AND best.e = cb.e),
 gr AS (SELECT bl.*, p_brand AS story, row_number() OVER (PARTITION BY u, p_brand ORDER BY score DESC, e) AS ig FROM bl JOIN part ON p_partkey = e),
 kp AS (SELECT *, count(*) FILTER (WHERE ig = 1) OVER (PARTITION BY u) AS groups FROM gr),
 rk AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, e)::INT AS rank FROM kp WHERE ig = 1 OR groups < 10)
-SELECT u AS "user", e AS event, story, rank, score FROM rk WHERE rank <= 10""")
+SELECT u AS "user", e AS event, story, rank, round(score, 6) AS score FROM rk WHERE rank <= 10""")
 def blend_story_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = T.consumed(spark, sf_dir).select("user", "event").filter("event % 5 = 0")  # stands in for a vector score
-    cbf = R.top_per(own.withColumn("cbf", (F.col("event") % 97).cast("double") / 97), ["user"], [F.desc("cbf"), F.col("event")], 20)
-    scored = C.blend(cbf, _cf(spark, sf_dir)).withColumn("score", F.round("score", 9)).join(T.events(spark, sf_dir).select("event", "story"), "event")
-    return C.one_per_group(scored).select("user", "event", "story", "rank", "score")
+    scored = C.blend(_cbf(spark, sf_dir), _cf(spark, sf_dir)).withColumn("score", F.round("score", 9)).join(T.events(spark, sf_dir).select("event", "story"), "event")
+    return C.one_per_group(scored).select("user", "event", "story", "rank", F.round("score", 6).alias("score"))
 
 
 _HOLD = _CONSUMED + """, h AS (SELECT seen.*, prim.e IS NOT NULL AS el FROM seen LEFT JOIN prim ON prim.e = seen.e),
@@ -127,26 +153,30 @@ def holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("user", F.round("ndcg", 6).alias("ndcg"), "hit", F.round("recall", 6).alias("recall"))
 
 
-_GRID = """WITH s AS (SELECT event_id, user_id AS u, CAST(event_id % 101 AS DOUBLE) / 101 AS a, CAST(event_id % 89 AS DOUBLE) / 89 AS b, value >= 80 AS rel FROM events),
-g AS (SELECT i / 10.0 AS alpha FROM generate_series(0, 10) t(i)),
-r AS (SELECT alpha, u, rel, row_number() OVER (PARTITION BY alpha, u ORDER BY round(alpha * a + (1 - alpha) * b, 9) DESC, event_id) AS rank FROM s, g),
-n AS (SELECT u, sum(CAST(rel AS INT)) AS n FROM s GROUP BY 1 HAVING sum(CAST(rel AS INT)) > 0),
-d AS (SELECT alpha, r.u, sum(CASE WHEN rel AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) / any_value(list_sum(list_transform(generate_series(1, CAST(least(n, 10) AS BIGINT)), lambda i: 1 / log2(i + 1)))) AS ndcg FROM r JOIN n ON n.u = r.u GROUP BY 1, 2)
+_GRID = _HOLD.replace("seen", "pool") + ", seen AS (SELECT pool.* FROM pool SEMI JOIN held x ON x.u = pool.u ANTI JOIN held y ON y.u = pool.u AND y.e = pool.e)" + _PEERS + _CBF + """, cand AS (SELECT coalesce(best.u, cb.u) AS u, coalesce(best.e, cb.e) AS e, coalesce(cbf, 0) AS cbf, coalesce(cf, 0) AS cf FROM best FULL JOIN cb ON best.u = cb.u AND best.e = cb.e),
+g AS (SELECT CAST(i / 10.0 AS DOUBLE) AS alpha FROM generate_series(0, 10) t(i)),
+gr AS (SELECT alpha, u, e, p_brand, round(alpha * cbf + (1 - alpha) * cf, 9) AS score FROM cand JOIN part ON p_partkey = e, g),
+ig AS (SELECT *, row_number() OVER (PARTITION BY alpha, u, p_brand ORDER BY score DESC, e) AS ig FROM gr), kp AS (SELECT *, count(*) FILTER (WHERE ig = 1) OVER (PARTITION BY alpha, u) AS groups FROM ig),
+rk AS (SELECT alpha, u, e, row_number() OVER (PARTITION BY alpha, u ORDER BY score DESC, e) AS rank FROM kp WHERE ig = 1 OR groups < 10 QUALIFY rank <= 10),
+ht AS (SELECT alpha, rk.u, sum(1 / log2(rank + 1)) AS dcg, count(*) AS k FROM rk JOIN held ON held.u = rk.u AND held.e = rk.e GROUP BY 1, 2), sz AS (SELECT u, count(*) AS n FROM held GROUP BY 1),
+pu AS (SELECT g.alpha, coalesce(dcg, 0) / list_sum(list_transform(generate_series(1, least(n, 10)), lambda i: 1 / log2(i + 1))) AS ndcg, CAST(coalesce(k, 0) > 0 AS DOUBLE) AS hit, coalesce(k, 0) / n AS recall FROM sz CROSS JOIN g LEFT JOIN ht ON ht.u = sz.u AND ht.alpha = g.alpha),
+m AS (SELECT alpha, avg(ndcg) AS ndcg, avg(hit) AS hit, avg(recall) AS recall FROM pu GROUP BY 1)
 """
 
 
-@register("weight_grid_argmax", _GRID + """, m AS (SELECT CAST(alpha AS DOUBLE) AS alpha, avg(ndcg) AS ndcg FROM d GROUP BY 1), b AS (SELECT * FROM m ORDER BY round(ndcg, 12) DESC, abs(round(alpha - 0.7, 9)), alpha LIMIT 1)
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.retune(_history(spark, sf_dir), _event_vectors(spark, sf_dir), T.events(spark, sf_dir).select("event", "story"), F.lit(AS_OF).cast("timestamp_ntz"), 300.0)
+
+
+@register("retune_grid", _GRID + "SELECT alpha, round(ndcg, 6) AS ndcg, round(hit, 6) AS hit, round(recall, 6) AS recall FROM m")
+def retune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid(spark, sf_dir).select("alpha", *[F.round(c, 6).alias(c) for c in ("ndcg", "hit", "recall")])
+
+
+@register("weight_grid_argmax", _GRID + """, b AS (SELECT * FROM m ORDER BY round(ndcg, 12) DESC, abs(round(alpha - 0.7, 9)), alpha LIMIT 1)
 SELECT round(least(greatest(CASE WHEN ndcg = 0 THEN 0.7 ELSE alpha END, 0.6), 0.8), 4) AS alpha, round(ndcg, 6) AS ndcg FROM b""")
 def weight_grid_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = T.log(spark, sf_dir).select("user", F.col("event_id").alias("event"), ((F.col("event_id") % 101).cast("double") / 101).alias("a"), ((F.col("event_id") % 89).cast("double") / 89).alias("b"), (F.col("value") >= 80).alias("rel"))
-    grid = spark.range(11).select((F.col("id") / 10.0).alias("alpha"))
-    both = s.crossJoin(F.broadcast(grid)).withColumn("score", F.round(F.col("alpha") * F.col("a") + (1 - F.col("alpha")) * F.col("b"), 9))  # eleven rows
-    ranked = R.top_per(both, ["alpha", "user"], [F.desc("score"), F.col("event")], 10)
-    rank = F.row_number().over(Window.partitionBy("alpha", "user").orderBy(F.desc("score"), "event"))
-    ranked = ranked.withColumn("rank", rank).withColumn("__u", F.struct("alpha", "user"))
-    truth = s.filter("rel").select("user", "event").crossJoin(F.broadcast(grid)).select(F.struct("alpha", "user").alias("user"), "event")
-    m = C.ranking_metrics(ranked.select(F.col("__u").alias("user"), "event", "rank"), truth)
-    return C.choose_weight(m.groupBy(F.col("user.alpha").alias("alpha")).agg(F.avg("ndcg").alias("ndcg")), current=0.7).withColumn("ndcg", F.round("ndcg", 6))
+    return C.choose_weight(_grid(spark, sf_dir).select("alpha", "ndcg"), current=0.7).withColumn("ndcg", F.round("ndcg", 6))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
