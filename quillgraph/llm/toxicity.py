@@ -85,31 +85,48 @@ class Machine:
 
 
 def train(machine: Machine, row: np.ndarray, at: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 0.05, decay: float = 2e-4) -> Machine:
-    """Full-batch Adam on the mean logistic loss; deterministic."""
+    """Full-batch Adam on the mean logistic loss; deterministic.  row ascends.
+
+    With s = a text's sum of factors, its pairs give (s^2 - sum of v^2) / 2, and
+    their slope by v is s - v; both need one gather and one sum a factor, by
+    text and by term.
+    """
     n, m, k = len(y), *machine.factors.shape
-    theta = np.concatenate([[machine.bias], machine.linear, machine.factors.ravel()])
+    turned = np.argsort(at, kind="stable")
+    row_of = row[turned]
+    by_row, by_term = _Sums(row, n), _Sums(at[turned], m)
+    theta = np.concatenate([[machine.bias], machine.linear, machine.factors.T.ravel()])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        machine.bias, machine.linear, machine.factors = theta[0], theta[1 : m + 1], theta[m + 1 :].reshape(m, k)
-        p = 1 / (1 + np.exp(-np.clip(machine.raw(row, at, n), -40, 40)))
+        linear, factors = theta[1 : m + 1], theta[m + 1 :].reshape(k, m)
+        sums = [by_row(f.take(at)) for f in factors]
+        raw = theta[0] + by_row((linear - 0.5 * (factors**2).sum(0)).take(at)) + 0.5 * sum(s * s for s in sums)
+        p = 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
         g = (p - y) / max(n, 1)
-        gh = g[row]
-        grad = np.empty_like(theta)
-        grad[0] = g.sum()
-        grad[1 : m + 1] = np.bincount(at, gh, m)
-        pair = np.empty((m, k))
-        for f in range(k):
-            v = machine.factors[at, f]
-            pair[:, f] = np.bincount(at, gh * (np.bincount(row, v, n)[row] - v), m)
-        grad[m + 1 :] = pair.ravel()
+        slope = by_term(g.take(row_of))
+        grad = np.concatenate([[g.sum()], slope, *(by_term((g * s).take(row_of)) - slope * f for s, f in zip(sums, factors, strict=True))])
         grad[1:] += decay * theta[1:]
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         theta = theta - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    machine.bias, machine.linear, machine.factors = float(theta[0]), theta[1 : m + 1], theta[m + 1 :].reshape(m, k)
+    machine.bias, machine.linear, machine.factors = float(theta[0]), theta[1 : m + 1], np.ascontiguousarray(theta[m + 1 :].reshape(k, m).T)
     return machine
 
 
+class _Sums:
+    """Sums of values by ascending keys from 0 to n - 1; 0 for keys without values."""
+
+    def __init__(self, keys: np.ndarray, n: int) -> None:
+        self.starts = np.flatnonzero(np.diff(keys, prepend=-1))
+        self.keys, self.n = keys[self.starts], n
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        if len(self.starts):
+            out[self.keys] = np.add.reduceat(values, self.starts)
+        return out
+
+
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct terms of a partition with the numbers of toxic and other texts that have them."""
     have: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
