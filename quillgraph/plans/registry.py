@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Imports the modules that register."""
-    from . import activity, boards, graphs, identity, lookups, recommendation  # noqa: F401
+    from . import activity, boards, builds, graphs, identity, lookups, recommendation  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
